@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from morphlake.llm import quality
+import corpus_pipeline
+from morphlake.llm import minhash, mixing, pieces, quality, secrets
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op9_mixing": mixing.op9_mixing,
     "quality_ablations": quality.quality_ablations,
 }
 ORACLES = {
