@@ -3,8 +3,11 @@
 A notice may be off by ``errors(notice)`` insertions, deletions and substitutions, an eighth of its length. By the
 pigeonhole principle, a notice split into one more piece than that holds at least one piece unharmed: an automaton
 over all pieces finds these seeds in one pass over a text, and each seed fixes a window that the whole notice must
-lie in. Only there the regex library's bounded-error matching runs, verifies the edits and gives the span. Where
-spans overlap, the one with the fewest errors, then the longest, then the first notice, is reported.
+lie in. A bit-parallel edit distance over the window leaves the ends of matches and their least errors, so that the
+regex library's bounded-error matching, which backtracks, runs only where a match is certain and with no more errors
+than it needs; it verifies the edits and gives the span. Of a run of neighbouring ends the one with the fewest
+errors, then the first, counts. Where spans overlap, the one with the fewest errors, then the longest, then the
+first notice, is reported.
 
 Letters match in either case. Spans are code points, end exclusive.
 
@@ -54,16 +57,19 @@ def fold(text: str) -> str:
 class Search:
     def __init__(self, notices: dict[str, list[str]] = NOTICES):
         import ahocorasick
-        import regex
 
         self.notices = [(name, fold(n), errors(n)) for name, ns in notices.items() for n in ns]
         seeds: dict[str, list[tuple[int, int]]] = {}
-        self.patterns = []
+        self.patterns: dict[tuple[int, int], object] = {}
+        self.masks = []
         for k, (_, n, e) in enumerate(self.notices):
             cuts = [len(n) * i // (e + 1) for i in range(e + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(n[a:b], []).append((k, a))
-            self.patterns.append(regex.compile(f"(?b)(?:{regex.escape(n, special_only=True)}){{e<={e}}}"))
+            masks: dict[str, int] = {}
+            for i, c in enumerate(n):
+                masks[c] = masks.get(c, 0) | 1 << i
+            self.masks.append(masks)
         self.automaton = ahocorasick.Automaton()
         for s, at in seeds.items():
             self.automaton.add_word(s, (len(s), at))
@@ -89,6 +95,50 @@ class Search:
             out[k] = merged
         return out
 
+    def _pattern(self, k: int, e: int):
+        import regex
+
+        if (k, e) not in self.patterns:
+            self.patterns[k, e] = regex.compile(f"(?:{regex.escape(self.notices[k][1], special_only=True)}){{e<={e}}}")
+        return self.patterns[k, e]
+
+    def ends(self, k: int, low: str, lo: int, hi: int) -> list[tuple[int, int]]:
+        """(end, least errors) of each run of ends in a window at which notice k matches within its errors."""
+        _, notice, limit = self.notices[k]
+        m, masks = len(notice), self.masks[k]
+        full, top = (1 << m) - 1, 1 << (m - 1)
+        up, down, errors_now = full, 0, m
+        out: list[tuple[int, int]] = []
+        last = -2
+        for i in range(lo, hi):
+            eq = masks.get(low[i], 0)
+            x = eq | down
+            h = (((eq & up) + up) ^ up) | eq
+            plus, minus = down | (full & ~(h | up)), up & h
+            if plus & top:
+                errors_now += 1
+            elif minus & top:
+                errors_now -= 1
+            plus, minus = (plus << 1) & full, (minus << 1) & full
+            up, down = minus | (full & ~(x | plus)), plus & x
+            if errors_now <= limit:
+                if last == i - 1:
+                    if errors_now < out[-1][1]:
+                        out[-1] = (i + 1, errors_now)
+                else:
+                    out.append((i + 1, errors_now))
+                last = i
+        return out
+
+    def _span(self, k: int, low: str, lo: int, end: int, e: int) -> tuple[int, int]:
+        """Span of the match with exactly e errors that ends here: the shortest start from which it does."""
+        n = len(self.notices[k][1])
+        for start in sorted(range(lo, end), key=lambda i: (abs(end - i - n), i)):
+            m = self._pattern(k, e).fullmatch(low, start, end)
+            if m:
+                return m.span()
+        raise AssertionError("the edit distance promises a match")
+
     def find(self, text: str | None) -> list[tuple[str, int, int, int, str]]:
         if not text:
             return []
@@ -96,8 +146,9 @@ class Search:
         hits = []
         for k, spans in self.windows(low).items():
             for lo, hi in spans:
-                for m in self.patterns[k].finditer(low, lo, hi):
-                    hits.append((sum(m.fuzzy_counts), m.start() - m.end(), k, m.start(), m.end()))
+                for end, e in self.ends(k, low, lo, hi):
+                    m = self._span(k, low, max(lo, end - len(self.notices[k][1]) - e), end, e)
+                    hits.append((e, m[0] - m[1], k, *m))
         out: list[tuple[str, int, int, int, str]] = []
         for e, _, k, a, b in sorted(hits):
             if all(b <= x[1] or a >= x[2] for x in out):
