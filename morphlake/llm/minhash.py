@@ -12,15 +12,16 @@ times its shingles (a short excerpt of a long text is the business of substring
    alone. Partitions share their band keys, so every document is emitted once.
 4. Round A is linear: every member of a bucket meets the bucket's leader and its own predecessor in dominance
    order. The best of them by sketch is checked exactly on the texts. Nearly all copies are settled here.
-5. Round B takes the documents that are still unsettled and meets *all* dominating members of their buckets, so
-   no candidate is dropped; sketches that are four standard deviations short of the pair's own Jaccard threshold
-   are refused, the rest is checked exactly.
-6. Settled documents point to their dominator; pointers are followed to the root, which stays.
+5. Round B takes the documents that are still unsettled, one for each group so far, and meets *all* members of
+   their buckets outside the group, larger and smaller, so no candidate is dropped; sketches that are four standard
+   deviations short of the pair's own Jaccard threshold are refused, the rest is checked exactly.
+6. The verified pairs are edges; of each connected group the lowest id stays. So copies of one original that differ
+   too much from each other still leave one document.
 
 Defined results: null, empty or word-less texts have no shingles and are never duplicates. Texts of fewer words
 than a shingle are one shingle. Rows with a null id can't be named: they are ignored by ``near_duplicates`` and
 kept by ``keep_one``. Repeated ids count as one document (the one with most shingles, then the lowest set
-fingerprint), and ``keep_one`` keeps one of these rows. Ties of size go to the lowest id. An empty table gives an
+fingerprint), and ``keep_one`` keeps one of these rows. An empty table gives an
 empty result. Extra columns are ignored, and kept by ``keep_one``.
 """
 
@@ -37,8 +38,8 @@ from morphlake.llm.common import cut, pick, small, table
 from morphlake.llm.textkit import PUNCT, U, Words, mix, slices, utf8
 
 SHINGLE = 5  # words
-THRESHOLD = 0.7
-MAX_RATIO = 2.0
+THRESHOLD = 0.6
+MAX_RATIO = 1.5
 HASHES = 243
 RECALL = 0.9  # of a pair exactly at the worst Jaccard threshold of its partitions
 SEED = 20240607
@@ -179,8 +180,8 @@ def _exact(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_ratio: float = MAX_RATIO, k: int = SHINGLE, hashes: int = HASHES
 ) -> DataFrame:
-    """One row per document that goes: its id, the id that stays in its group, and its containment in the
-    document that it was matched with (1.0 for an equal shingle set)."""
+    """One row per document that goes: its id, the id that stays in its group, and the greatest containment of a
+    verified pair that it is part of (1.0 for an equal shingle set)."""
     docs = pick(docs, doc_id=id_col, text=text_col).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     bands = ensemble(threshold, max_ratio, hashes)
     layouts = sorted({(r, max(b for _, r2, b in bands if r2 == r)) for _, r, _ in bands})
@@ -206,7 +207,6 @@ def near_duplicates(
     apart = "(int(floor(2 * log2(size_b))) - int(floor(2 * log2(size_a))))"
     allowed = " OR ".join(f"({apart} = {d} AND band >= {starts[r]} AND band < {starts[r] + b})" for d, (_, r, b) in enumerate(bands))
     fits = f"size_b >= size_a AND size_b <= {float(max_ratio)} * size_a AND ({allowed})"
-    dominates = "(size_b > size_a OR (size_b = size_a AND cand_id < doc_id))"
     sketches = reps.select("doc_id", "sketch")
 
     def sketched(pairs: DataFrame) -> DataFrame:
@@ -216,12 +216,6 @@ def near_duplicates(
         both = both.select("doc_id", "cand_id", "size_a", "size_b", F.lit(threshold).alias("threshold"), "sketch_a", "sketch_b")
         return both.mapInArrow(_estimated, "doc_id long, cand_id long, est double")
 
-    def best(pairs: DataFrame) -> DataFrame:
-        """Of each document's exact matches the first in dominance order would do; the closest is kept."""
-        return pairs.groupBy("doc_id").agg(F.max(F.struct("containment", F.negative("cand_id").alias("c"))).alias("m")).select(
-            "doc_id", F.negative("m.c").alias("keeper_id"), F.col("m.containment").alias("containment")
-        )
-
     met = [buckets.select("band", F.col("doc_id"), F.col("size").alias("size_a"), F.col(f"{c}.doc_id").alias("cand_id"), F.col(f"{c}.size").alias("size_b")) for c in ("lead", "prev")]
     first = met[0].union(met[1]).filter(f"cand_id IS NOT NULL AND doc_id <> cand_id AND {fits}")
     first = first.groupBy("doc_id", "cand_id", "size_a", "size_b").agg(F.count("*").alias("hits"))
@@ -230,28 +224,43 @@ def near_duplicates(
     tested = cut(_exact(docs, cut(chosen, "minhash-first"), k), "minhash-tested")
     settled = tested.filter(F.col("containment") >= threshold).select("doc_id", F.col("cand_id").alias("keeper_id"), "containment")
 
-    rest = buckets.join(settled.select("doc_id"), "doc_id", "left_anti").select("key", "band", "doc_id", F.col("size").alias("size_a"))
-    others = buckets.select("key", F.col("doc_id").alias("cand_id"), F.col("size").alias("size_b"))
-    second = rest.join(others, "key").filter(f"{dominates} AND {fits}").select("doc_id", "cand_id", "size_a", "size_b").distinct()
+    # the unsettled stand for the groups so far: each meets all members of its buckets that aren't in its own group
+    groups = _components(settled)
+    rest = buckets.join(settled.select("doc_id"), "doc_id", "left_anti").select("key", F.col("doc_id").alias("u"), F.col("size").alias("size_u"))
+    tops = settled.select("doc_id").join(groups, "doc_id").select(F.col("doc_id").alias("m"), "label")
+    top_of = groups.join(settled.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("top"), F.col("label").alias("l"))
+    inside = cut(tops.join(top_of, F.col("label") == F.col("l")).select("m", "top"), "minhash-tops")
+    others = buckets.select("key", "band", F.col("doc_id").alias("v"), F.col("size").alias("size_v")).join(inside, F.col("v") == F.col("m"), "left").drop("m")
+    met_all = rest.join(others, "key").filter("u <> v AND (top IS NULL OR top <> u)")
+    u_below = "(size_v > size_u OR (size_v = size_u AND v < u))"
+    second = met_all.selectExpr("band", *[f"IF({u_below}, {x}, {y}) AS {z}" for x, y, z in (("u", "v", "doc_id"), ("v", "u", "cand_id"), ("size_u", "size_v", "size_a"), ("size_v", "size_u", "size_b"))])
+    second = second.filter(fits).select("doc_id", "cand_id", "size_a", "size_b").distinct()
     second = second.join(tested.select("doc_id", "cand_id"), ["doc_id", "cand_id"], "left_anti")
     checked = _exact(docs, cut(sketched(second), "minhash-second"), k).filter(F.col("containment") >= threshold)
-    links = cut(settled.union(best(checked)), "minhash-links")
+    links = cut(settled.union(checked.select("doc_id", F.col("cand_id").alias("keeper_id"), "containment")), "minhash-links")
 
-    return _rooted(links, equal)
+    closest = links.select("doc_id", "containment").union(links.select("keeper_id", "containment")).groupBy("doc_id").agg(F.max("containment").alias("containment"))
+    labels = _components(links)
+    near = labels.filter("doc_id <> label").join(closest, "doc_id").select("doc_id", F.col("label").alias("keeper_id"), "containment")
+    top = labels.select(F.col("doc_id").alias("u"), F.col("label"))
+    equal = equal.join(top, equal.keeper_id == top.u, "left").select("doc_id", F.coalesce("label", "keeper_id").alias("keeper_id"), "containment")
+    return near.union(equal)
 
 
-def _rooted(links: DataFrame, equal: DataFrame) -> DataFrame:
-    """Follow every pointer to its root by pointer jumping (the order of dominance rules out circles)."""
-    now = links
+def _components(links: DataFrame) -> DataFrame:
+    """(doc_id, label): the lowest id of each document's connected group, by propagation and pointer jumping."""
+    a, b = F.col("doc_id").alias("doc_id"), F.col("keeper_id").alias("nbr")
+    edges = cut(links.select(a, b).union(links.select(F.col("keeper_id"), F.col("doc_id"))), "minhash-edges")
+    labels = cut(edges.groupBy("doc_id").agg(F.least("doc_id", F.min("nbr")).alias("label")), "minhash-labels")
     while True:
-        up = now.select(F.col("doc_id").alias("u"), F.col("keeper_id").alias("root"))
-        now = cut(now.join(up, now.keeper_id == up.u, "left").select("doc_id", F.coalesce("root", "keeper_id").alias("keeper_id"), "containment", F.col("root").isNotNull().alias("moved")), "minhash-roots")
+        of = labels.select(F.col("doc_id").alias("o"), F.col("label").alias("of"))
+        seen = edges.join(of, F.col("nbr") == F.col("o")).groupBy("doc_id").agg(F.min("of").alias("seen"))
+        least = labels.join(seen, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "seen").alias("l"))
+        jumped = least.join(of, F.col("l") == F.col("o")).select("doc_id", F.least("l", "of").alias("label"), (F.least("l", "of") < F.col("old")).alias("moved"))
+        now = cut(jumped, "minhash-labels")
         if now.filter("moved").isEmpty():
-            break
-        now = now.drop("moved")
-    top = now.select(F.col("doc_id").alias("u"), F.col("keeper_id").alias("root"))
-    equal = equal.join(top, equal.keeper_id == top.u, "left").select("doc_id", F.coalesce("root", "keeper_id").alias("keeper_id"), "containment")
-    return now.drop("moved").union(equal)
+            return now.drop("moved")
+        labels = now.drop("moved")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
