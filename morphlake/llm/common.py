@@ -74,6 +74,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with plain column names c0, c1, ..., and the new name of each old one: none can clash then."""
+    new = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), new
+
+
 def parallel(df: DataFrame) -> int:
     """Shuffle partitions configured for this session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

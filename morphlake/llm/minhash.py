@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import cut, pick, small, table
+from morphlake.llm.common import cut, pick, shielded, small, table
 from morphlake.llm.textkit import PUNCT, U, Words, mix, slices, utf8
 
 SHINGLE = 5  # words
@@ -266,16 +266,17 @@ def _components(links: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The documents without those that ``near_duplicates`` names, and with one row of each repeated id."""
     gone = cut(near_duplicates(docs, id_col, text_col, **parameters).select(F.col("doc_id").alias("__gone")), "minhash-gone")
-    kept = docs.join(small(gone, gone.count(), 16), docs[id_col] == F.col("__gone"), "left_anti")
-    again = cut(kept.select(F.col(id_col).alias("__again")).filter("__again IS NOT NULL").groupBy("__again").count().filter("count > 1").drop("count"), "minhash-again")
+    plain, new = shielded(docs)
+    key, text = F.col(new[id_col]), F.col(new[text_col])
+    kept = plain.join(small(gone, gone.count(), 16), key == F.col("__gone"), "left_anti")
+    again = cut(kept.select(key.alias("__again")).filter("__again IS NOT NULL").groupBy("__again").count().filter("count > 1").drop("count"), "minhash-again")
     n = again.count()
     if n == 0:
-        return kept
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = kept.join(small(again, n, 16), kept[id_col] == F.col("__again"), "left_anti")
-    several = kept.join(small(again, n, 16), kept[id_col] == F.col("__again"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.desc(F.length(text_col)), F.col(text_col))
-    return single.union(several.withColumn("__row", F.row_number().over(order)).filter("__row = 1").select(*columns))
+        return kept.toDF(*docs.columns)
+    single = kept.join(small(again, n, 16), key == F.col("__again"), "left_anti")
+    several = kept.join(small(again, n, 16), key == F.col("__again"), "left_semi")
+    order = Window.partitionBy(key).orderBy(F.desc(F.length(text)), text)
+    return single.union(several.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")).toDF(*docs.columns)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import pick, table
+from morphlake.llm.common import pick, shielded, table
 
 FINDING = "kind string, begin int, end int, n_bytes int, detail string"
 #: Any text with a finding matches this; the JVM tests it before a text goes to Python.
@@ -228,15 +228,17 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return texts.map(one, na_action="ignore")
 
-    text = docs[text_col]
+    plain, new = shielded(docs)
+    text = F.col(new[text_col])
     likely = F.coalesce(text.rlike(PREFILTER), F.lit(False))
     # a branch doesn't keep a Python function from running, an empty input does: only likely texts are sent
-    sent = docs.withColumn("__sent", F.when(likely, text)).withColumn("__clean", clean("__sent"))
-    new = F.coalesce("__clean", text)
-    out = {text_col: new}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("__clean").isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
-    return sent.withColumns(out).select(*[F.col(f"`{c}`") for c in docs.columns])
+    sent = plain.withColumn("__sent", F.when(likely, text)).withColumn("__clean", clean("__sent"))
+    after = F.coalesce("__clean", text)
+    out = {new[text_col]: after}
+    if "n_chars" in new:
+        n = F.col(new["n_chars"])
+        out[new["n_chars"]] = F.when(F.col("__clean").isNotNull(), F.length(after).cast(docs.schema["n_chars"].dataType)).otherwise(n)
+    return sent.withColumns(out).select(*new.values()).toDF(*docs.columns)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

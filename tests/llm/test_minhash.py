@@ -46,7 +46,7 @@ def test_recall_on_the_documents(spark, sf_dir):
 
 
 def test_awkward_rows(spark):
-    docs = clashing(awkward(spark), "size", "keys", "k", "keeper_id")
+    docs = clashing(awkward(spark), "size", "keys", "k", "keeper_id", "__gone", "__row")
     got = {r.doc_id: r.keeper_id for r in minhash.near_duplicates(docs).collect()}
     assert got == {6: 1}
     kept = minhash.keep_one(docs)
