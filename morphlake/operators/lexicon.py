@@ -1,8 +1,8 @@
 """Dictionary tables: lexicon rows, parts of speech, connections, headword index, split references.
 
-A lexicon row is (dict_id, word_id, headword, left_id, right_id, cost, surface, head_word_length, pos_id,
-normalized_form, dictionary_form_word_id, dictionary_form, reading_form, a_unit_split, b_unit_split,
-word_structure); its headword is null if it isn't indexed.
+A lexicon row is named by (dict_id, word_id) and has its headword (null if it isn't indexed) with its length in bytes,
+the connection ids and the cost, what is shown of it (surface, reading, normalized and dictionary forms), its part of
+speech, and the ids of its units for modes A and B and of its structure.
 """
 
 from __future__ import annotations
@@ -10,10 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEXICON = (
-    "dict_id int, word_id int, headword string, left_id int, right_id int, cost int, surface string, head_word_length int, pos_id int, normalized_form string, "
-    "dictionary_form_word_id int, dictionary_form string, reading_form string, a_unit_split array<int>, b_unit_split array<int>, word_structure array<int>"
-)
 MAX_CHARS, MAX_PARTS, MAX_DICTIONARIES = 32767, 127, 16
 USER_SHIFT = 28
 INHIBITED = 0x7FFF

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from morphlake.functions.categories import DEFAULT_PROPERTIES, DEFAULT_RANGES, MASK, NAMES, RUN_SCRIPTS
 
-NOUN = ("名詞", "普通名詞", "一般", "*", "*", "*")
+NOUN = (*"名詞 普通名詞 一般".split(), *"***")
 
 
 @dataclass(frozen=True)

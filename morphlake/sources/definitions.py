@@ -57,7 +57,8 @@ def parse_templates(text: str, known: dict | None = None) -> dict[str, list[tupl
 
 def settings(path: str | None = None) -> dict:
     """JSON settings over the defaults."""
-    default = {"systemDict": None, "userDict": [], "characterDefinitionFile": None, "rewriteDefinitionFile": None, "oovPOS": None, "leftId": 8, "rightId": 8, "cost": 6000}
+    default: dict = dict.fromkeys(["systemDict", "characterDefinitionFile", "rewriteDefinitionFile", "oovPOS"]) | {"userDict": []}
+    default |= dict(zip(["cost", "leftId", "rightId"], [6000, 8, 8]))
     return default | (json.loads(read_text(path)) if path else {})
 
 
