@@ -11,10 +11,14 @@ it falls apart by a hash of these words, and only intervals that can hold a resu
    Positions without a repeated anchor near them begin no repeat.
 2. For the remaining positions the hash of the next MIN_WORDS words is grouped. Groups of one suffix, and groups
    whose suffixes all have the same word in front (no left extension differs), are dropped.
-3. What is left is brought together with its text up to the end of the run of candidate positions, sorted by
-   content, and scanned with a stack of open intervals. A closed interval of at least MIN_WORDS common words with
+3. What is left is brought together with its text up to the end of the run of candidate positions. Starts that share
+   an anchor, the least hash of a half window in their first MIN_WORDS words, share one copy of that text; equal first
+   words have equal anchors, so the anchor's group holds all that belongs together. In it the suffixes are sorted by
+   content and scanned with a stack of open intervals. A closed interval of at least MIN_WORDS common words with
    differing words in front is reported with all its occurrences.
 
+Equal texts are worked on once, with the ids of all their owners.
+
 The beginning of a text counts as a word in front that equals no other; so does its end. Occurrences that overlap
 an earlier one of the same MIN_WORDS words in the same text (a periodic passage) are represented by the first one
 of their chain. Words are what white space separates; occurrences are given in code points, end exclusive.
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from morphlake.llm.common import cut, pick, small, table
-from morphlake.llm.textkit import U, Words, mix, slices, utf8, winnow
+from morphlake.llm.textkit import U, WHITE, Words, mix, slices, utf8, winnow
 
 MIN_WORDS = 50
 RESULT = "repeat_id long, n_words int, n_occurrences int, doc_id long, begin int, end int"
@@ -106,39 +110,47 @@ def _starts(min_words: int):
     return run
 
 
-def _slices(batches):
-    """(k, doc_id, text, starts) to suffixes: window hash, word in front, id, first word, text up to the run's end."""
-    for batch in batches:
-        starts = batch.column("starts").to_pylist()
-        for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())):
-            data, offsets = utf8(pa.array([text]))
-            w = Words(data, offsets)
-            raw = data.tobytes()
-            heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
-            words = [raw[s:e] for s, e in zip(w.start.tolist(), w.end.tolist())]
-            at = heads[w.start].tolist()
-            ends = heads[w.end].tolist()
-            rows = [[], [], [], [], [], []]
-            size = 0
-            for x in starts[i]:
-                p, stop = x["pos"], min(x["stop"], len(words))
-                body = b" ".join(words[p:stop]) + b" "
-                tail = b"" if stop < len(words) else b"\x00" + str(doc).encode() + b"/" + str(p).encode()
-                for col, v in zip(rows, (x["win"], x["front"], doc, body + tail, at[p:stop], ends[p:stop])):
-                    col.append(v)
-                size += len(body) + 8 * (stop - p)
-                if size > 4 << 20:
-                    yield _suffix_batch(rows)
-                    rows, size = [[], [], [], [], [], []], 0
-            if rows[0]:
-                yield _suffix_batch(rows)
-
-
-def _suffix_batch(rows):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary()), pa.array([x[0] for x in rows[4]], pa.int32()), pa.array([np.array(x, np.int32) for x in rows[5]], pa.list_(pa.int32()))],
-        ["win", "front", "doc_id", "body", "begin", "ends"],
-    )
+def _slices(min_words: int):
+    """(k, ids, text, starts) to one row per anchor: its hash, the text's ids and key, what precedes in code points, the
+    text from the first start at this anchor up to the run's end, whether the text ends there, and the starts in it."""
+    gram = min_words // 2
+    width = min_words - gram + 1
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("front", pa.int64()), ("first", pa.bool_())]))
+
+    def run(batches):
+        for batch in batches:
+            for k, ids, text, starts in zip(*(batch.column(c).to_pylist() for c in ("k", "ids", "text", "starts"))):
+                data, offsets = utf8(pa.array([text]))
+                w = Words(data, offsets)
+                raw = data.tobytes()
+                heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+                starts.sort(key=lambda x: x["pos"])
+                pos = np.array([x["pos"] for x in starts])
+                h, _ = w.windows(gram)
+                seen = np.lib.stride_tricks.sliding_window_view(h, width)[pos]
+                anchor = pos + width - 1 - np.argmin(seen[:, ::-1], axis=1)
+                rows: list[tuple] = []
+                size, i = 0, 0
+                while i < len(pos):
+                    j = i
+                    while j < len(pos) and anchor[j] == anchor[i]:
+                        j += 1
+                    p, stop = int(pos[i]), min(max(x["stop"] for x in starts[i:j]), len(w.h))
+                    body = raw[w.start[p] : w.end[stop - 1]]
+                    own = [{"at": x["pos"] - p, "front": x["front"], "first": x["pos"] == 0} for x in starts[i:j]]
+                    rows.append((int(h[anchor[i]].astype(np.int64)), k, ids, int(heads[w.start[p]]), body, stop == len(w.h), own))
+                    size += len(body)
+                    i = j
+                    if size > 4 << 20 or i == len(pos):
+                        cols = list(zip(*rows))
+                        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.bool_(), kind]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["anchor", "k", "ids", "begin", "body", "whole", "starts"])
+                        rows, size = [], 0
+
+    return run
+
+
+SLICE_ROW = "anchor long, k long, ids array<long>, begin int, body binary, whole boolean, starts array<struct<at: int, front: long, first: boolean>>"
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -150,14 +162,22 @@ def common_words(a: bytes, b: bytes) -> int:
     return a.count(b" ", 0, at if n and differ[at] else n)
 
 
-def intervals(bodies: list[bytes], fronts: list[int], least: int):
-    """Stack scan of one group: sorted order, and (words, from, to) of each left-diverse interval of it."""
+def intervals(bodies: list[bytes], fronts: list[int], least: int, alone: list[bool] | None = None):
+    """Stack scan of one group: sorted order, and (words, from, to) of each left-diverse interval of it.
+
+    ``alone``: suffixes that stand for several whole texts, which are a repeat by themselves.
+    """
     order = sorted(range(len(bodies)), key=bodies.__getitem__)
     out = []
     stack: list[list] = []  # words in common, first suffix, word in front if it is always the same, whether it differs
+    before = 0
     for j in range(1, len(order) + 1):
-        n = common_words(bodies[order[j - 1]], bodies[order[j]]) if j < len(order) else 0
-        first, front, diverse = j - 1, fronts[order[j - 1]], False
+        here = order[j - 1]
+        n = common_words(bodies[here], bodies[order[j]]) if j < len(order) else 0
+        first, front, diverse = j - 1, fronts[here], bool(alone and alone[here])
+        if diverse and (whole := bodies[here].count(b" ")) > max(n, before) and whole >= least:
+            out.append((whole, j - 1, j))
+        before = n
         while stack and stack[-1][0] > n:
             words, lo, f, d = stack.pop()
             d = d or diverse or f != front
@@ -172,58 +192,77 @@ def intervals(bodies: list[bytes], fronts: list[int], least: int):
     return order, out
 
 
-def _repeats(least: int):
-    """Groups arrive in order of their hash; one that a batch cuts off waits for the next batch."""
+class _Slice:
+    """A row of an anchor's group, with its words' places."""
+
+    def __init__(self, k: int, ids: list[int], begin: int, body: bytes, whole: bool):
+        self.ids, self.begin, self.body = ids, begin, body
+        data = np.frombuffer(body, np.uint8)
+        inside = ~WHITE[data]
+        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sizes = self.end - self.start + 1
+        self.joined = b" ".join(body.split()) + b" "
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        self.tail = b"\x00" + str(k).encode() if whole else b""
 
-    def groups(batches):
-        kept = None
+    def suffix(self, word: int) -> bytes:
+        return self.joined[self.at[word] :] + (self.tail and self.tail + b"/" + str(len(self.start) - word).encode())
+
+    def span(self, word: int, n: int) -> tuple[int, int]:
+        body, a, b = self.body, self.start[word], self.end[word + n - 1]
+        head = self.begin + sum((x & 0xC0) != 0x80 for x in body[:a]) if a else self.begin
+        return head, head + len(body[a:b].decode())
+
+
+def _repeats(least: int):
+    """Groups arrive in order of their anchor; one that a batch cuts off waits for the next batch."""
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+
+    def group_of(rows: list[tuple]):
+        windows: dict[bytes, list[tuple[_Slice, int, int, bool]]] = {}
+        for k, ids, begin, body, whole, starts in rows:
+            s = _Slice(k, ids, begin, body, whole)
+            for x in starts:
+                a = x["at"]
+                windows.setdefault(s.joined[s.at[a] : s.at[a + least]], []).append((s, a, x["front"], x["first"] and len(ids) > 1))
+        for own in windows.values():
+            if len(own) < 2 and not own[0][3]:
+                continue
+            bodies = [s.suffix(a) for s, a, _, _ in own]
+            order, found = intervals(bodies, [x[2] for x in own], least, [x[3] for x in own])
+            for words, lo, hi in found:
+                members = [own[i] for i in order[lo:hi]]
+                rid = _content_id(bodies[order[lo]], words)
+                n = sum(len(s.ids) for s, _, _, _ in members)
+                for s, a, _, _ in members:
+                    b, e = s.span(a, words)
+                    for doc in s.ids:
+                        yield rid, words, n, doc, b, e
+
+    def rows_of(batches):
+        now, kept = None, []
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([kept, t]) if kept is not None else t
-            win = t.column("win").to_numpy()
-            edges = np.flatnonzero(np.diff(win)) + 1
-            if len(edges):
-                yield t.slice(0, int(edges[-1])), np.concatenate([[0], edges])
-                kept = t.slice(int(edges[-1]))
-            else:
-                kept = t
-        if kept is not None and len(kept):
-            yield kept, np.array([0, len(kept)])
+            for anchor, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if anchor != now:
+                    if kept:
+                        yield from group_of(kept)
+                    now, kept = anchor, []
+                kept.append(row)
+        if kept:
+            yield from group_of(kept)
 
     def run(batches):
-        for t, edges in groups(batches):
-            fronts = t.column("front").to_pylist()
-            bodies = t.column("body").to_pylist()
-            docs = t.column("doc_id").to_numpy()
-            begin = t.column("begin").to_numpy()
-            ends = t.column("ends").combine_chunks()
-            ends_at, ends_flat = ends.offsets.to_numpy(), ends.values.to_numpy()
-            out = [[], [], [], [], [], []]
-            size = 0
-
-            def batch_of():
-                rid, words, n, d, b, e = map(np.concatenate, out)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(rid), pa.array(words.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(d), pa.array(b), pa.array(e)], [x.split()[0] for x in RESULT.split(", ")]
-                )
-
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if hi - lo < 2:
-                    continue
-                order, found = intervals(bodies[lo:hi], fronts[lo:hi], least)
-                order = np.array(order) + lo
-                for words, a, b in found:
-                    own = order[a:b]
-                    rid = _content_id(bodies[own[0]], words)
-                    m = len(own)
-                    for col, v in zip(out, (np.full(m, rid), np.full(m, words), np.full(m, m), docs[own], begin[own], ends_flat[ends_at[own] + words - 1])):
-                        col.append(v)
-                    size += m
-                    if size > 100_000:
-                        yield batch_of()
-                        out, size = [[], [], [], [], [], []], 0
-            if out[0]:
-                yield batch_of()
+        cols: list[list] = [[] for _ in names]
+        for row in rows_of(batches):
+            for c, v in zip(cols, row):
+                c.append(v)
+            if len(cols[0]) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                cols = [[] for _ in names]
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     return run
 
@@ -240,23 +279,32 @@ def _content_id(body: bytes, words: int) -> int:
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per occurrence: repeat_id (hash of its words), n_words, n_occurrences, doc_id, begin, end."""
     docs = pick(docs, doc_id=id_col, text=text_col).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
-    anchors = docs.select("k", "text").mapInArrow(_anchors(min_words), "k long, h long, pos int")
-    shared = anchors.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("k"))
+    # equal texts are worked on once: what differs is whose they are
+    owners = docs.select("k", "doc_id").groupBy("k").agg(F.collect_set("doc_id").alias("ids"))
+    owners = cut(owners.select("k", F.array_min("ids").alias("one"), "ids"), "owners")
+    several = owners.filter("size(ids) > 1").select(F.col("k").alias("k2"), "one")
+    several = small(several, several.count(), 24)
+    unique = docs.join(several, F.col("k") == F.col("k2"), "left").filter("one IS NULL OR one = doc_id").select("k", "text")
+    anchors = unique.select("k", "text").mapInArrow(_anchors(min_words), "k long, h long, pos int")
+    anchors = anchors.join(several.select("k2"), F.col("k") == F.col("k2"), "left")
+    weighted = anchors.select("k", "h", "pos", F.when(F.col("k2").isNull(), 1).otherwise(2).alias("m"))
+    shared = weighted.withColumn("n", F.sum("m").over(Window.partitionBy("h"))).filter("n > 1")
     shared = cut(shared.groupBy("k").agg(F.collect_set("pos").alias("anchors")), "anchors")
     n = shared.count()
-    texts = docs.join(small(shared.select(F.col("k").alias("s")), n, 24), F.col("k") == F.col("s"), "left_semi").dropDuplicates(["k"])
+    texts = unique.join(small(shared.select(F.col("k").alias("s")), n, 24), F.col("k") == F.col("s"), "left_semi").dropDuplicates(["k"])
     texts = cut(texts, "shared-texts")
-    starts = texts.select("k", "text").join(shared, "k").mapInArrow(_starts(min_words), "k long, win long, front long, pos int, stop int")
+    starts = texts.join(shared, "k").select("k", "text", "anchors").mapInArrow(_starts(min_words), "k long, win long, front long, pos int, stop int")
     by = Window.partitionBy("win")
     ordered = by.orderBy("k", "pos")
     # of a chain of overlapping occurrences in one text the first stays
     starts = starts.withColumn("before", F.when(F.lag("k").over(ordered) == F.col("k"), F.lag("pos").over(ordered)))
     starts = starts.filter(F.col("before").isNull() | (F.col("pos") - F.col("before") >= min_words))
-    counted = starts.select("win", "front", "k", "pos", "stop", F.count("*").over(by).alias("n"), F.min("front").over(by).alias("f0"), F.max("front").over(by).alias("f1"))
-    diverse = counted.filter("n > 1 AND f0 <> f1").groupBy("k").agg(F.collect_list(F.struct("win", "front", "pos", "stop")).alias("starts"))
-    suffixes = texts.join(diverse, "k").select("doc_id", "text", "starts").mapInArrow(_slices, "win long, front long, doc_id long, body binary, begin int, ends array<int>")
-    grouped = suffixes.repartition("win").sortWithinPartitions("win")
+    counted = starts.select("front", "k", "pos", "stop", F.min("front").over(by).alias("f0"), F.max("front").over(by).alias("f1"))
+    diverse = counted.filter("f0 <> f1 OR pos = 0").select("k", "front", "pos", "stop")
+    diverse = diverse.groupBy("k").agg(F.collect_list(F.struct("front", "pos", "stop")).alias("starts"))
+    suffixes = texts.select("k", "text").join(diverse, "k").join(owners.select("k", "ids"), "k").select("k", "ids", "text", "starts").mapInArrow(_slices(min_words), SLICE_ROW)
+    grouped = suffixes.repartition("anchor").sortWithinPartitions("anchor")
     return grouped.mapInArrow(_repeats(min_words), RESULT)
 
 
