@@ -46,7 +46,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connection(spark: SparkSession) -> DataFrame:
-    pairs = spark.range(N_IDS).select(F.col("id").cast("int").alias("left")).crossJoin(spark.range(N_IDS).select(F.col("id").cast("int").alias("right")))
+    pairs = spark.range(0, N_IDS, 1, 1).select(F.col("id").cast("int").alias("left")).crossJoin(spark.range(0, N_IDS, 1, 1).select(F.col("id").cast("int").alias("right")))
     return pairs.withColumn("cost", F.expr(f"CAST(IF(left = 4 AND right = 3, {INHIBITED}, (left * 7 + right * 13) % 11 * 100) AS int)"))
 
 

@@ -74,16 +74,16 @@ def build(spark: SparkSession, csv_paths, matrix_path: str | None, target: str,
 
 def snapshot(lexicon: DataFrame, connection: DataFrame, **settings) -> Dictionary:
     """A dictionary for workers, from tables whose size is checked. ``lexicon`` has CARRIED and the unit splits."""
-    n = lexicon.count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"{n} lexicon rows are more than the {BROADCAST_ROWS} that workers hold: use tokenized_by_join")
-    words = []
     columns = [*CARRIED, "a_unit_split", "b_unit_split"]
-    for r in lexicon.select(*columns).orderBy("dict_id", "word_id").toLocalIterator():
+    rows = lexicon.select(*columns).limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError(f"the lexicon has over {BROADCAST_ROWS} rows, more than workers hold: use tokenized_by_join")
+    words = []
+    for r in sorted(rows, key=lambda r: (r["dict_id"], r["word_id"])):
         row = r.asDict()
         row["pos"] = tuple(row["pos"].split(",")) if isinstance(row["pos"], str) else tuple(row["pos"] or ())
         words.append(Word(**row | {k: tuple(row[k] or ()) for k in ("a_unit_split", "b_unit_split")}))
-    costs = {(r[0], r[1]): r[2] for r in connection.select("left", "right", "cost").toLocalIterator()}
+    costs = {(r[0], r[1]): r[2] for r in connection.select("left", "right", "cost").collect()}
     return Dictionary(words, costs, **settings)
 
 
