@@ -7,6 +7,12 @@ history lacks is looked for in the batch itself. The index holds each hash once,
 window meets one place however often a passage was seen. What was new in the batch becomes the next run of history;
 ``FAN`` runs of a level are compacted to one of the next, so a hash is rewritten a logarithmic number of times.
 
+The first occurrence of a half window may stand in other surroundings than a later one. Each fingerprint therefore
+carries a hash of its context, all words of the windows of MIN_WORDS words that chose it. Where this differs from
+the context of the first occurrence, these whole windows are looked for as well, in a second index of the same kind
+that holds such windows alone, each once with its first occurrence. A whole window seen before is thus always met:
+its occurrence is the first of its half window, or the second index has it.
+
 Matches are verified on the texts: from each matched window the two places are extended word by word to both sides
 while they agree, and spans of at least MIN_WORDS equal words are reported.
 
@@ -27,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import cut, new_path, parallel, pick, small, table
-from morphlake.llm.repeats import _i64, anchors_of
-from morphlake.llm.textkit import Words, slices, utf8
+from morphlake.llm.common import cut, drop_tables, new_path, parallel, pick, small, table
+from morphlake.llm.repeats import _i64
+from morphlake.llm.textkit import U, Words, mix, powers, slices, utf8
 
 MIN_WORDS = 50
 BATCHES = 4
@@ -37,7 +43,41 @@ FAN = 3
 SPAN = "doc_id long, begin int, end int, n_words int, source_id long, source_begin int, source_end int"
 
 
+def _chosen(w: Words, i: int, h: np.ndarray, gram: int, min_words: int) -> np.ndarray:
+    """Word positions (in row i) of the half window that each window of ``min_words`` words of the row chooses."""
+    f, t = w.first[i], w.first[i + 1]
+    if t - f < min_words:
+        return np.empty(0, np.int64)
+    width = min_words - gram + 1
+    seen = np.lib.stride_tricks.sliding_window_view(h[f : t - gram + 1], width)
+    return np.arange(len(seen)) + width - 1 - np.argmin(seen[:, ::-1], axis=1)
+
+
 def _fingerprints(min_words: int):
+    """(doc_id, text) to the fingerprints: hash, hash of the context, document, position. Shorter texts have none."""
+    gram = min_words // 2
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for a, b in slices(offsets):
+                w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                h, _ = w.windows(gram)
+                up, down = powers(len(w.h) + 1)
+                total = np.zeros(len(w.h) + 1, U)
+                np.cumsum(w.h * up[:-1], out=total[1:])
+                found = [np.unique(_chosen(w, i, h, gram, min_words), return_index=True, return_counts=True) for i in range(b - a)]
+                row = np.repeat(np.arange(a, b), [len(x[0]) for x in found])
+                pos, low, n = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+                at, lo = pos + w.first[row - a], low + w.first[row - a]
+                context = mix((total[lo + n - 1 + min_words] - total[lo]) * down[lo] + mix(((pos - low) * min_words + n).astype(U)))
+                yield pa.RecordBatch.from_arrays([_i64(h[at]), _i64(context), batch.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32))], ["h", "c", "doc_id", "pos"])
+
+    return run
+
+
+def _whole(min_words: int):
+    """(doc_id, text, at) to the windows of ``min_words`` words that chose one of the fingerprints ``at``."""
     gram = min_words // 2
 
     def run(batches):
@@ -46,11 +86,12 @@ def _fingerprints(min_words: int):
             for a, b in slices(offsets):
                 w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 h, _ = w.windows(gram)
-                at = [anchors_of(w, i, h, gram, min_words - gram + 1) for i in range(b - a)]
-                row = np.repeat(np.arange(a, b), [len(x) for x in at])
-                at = np.concatenate(at)
+                whole, _ = w.windows(min_words)
+                found = [np.flatnonzero(np.isin(_chosen(w, i - a, h, gram, min_words), batch.column(2)[i].values.to_numpy())) for i in range(a, b)]
+                row = np.repeat(np.arange(a, b), [len(x) for x in found])
+                pos = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays(
-                    [_i64(h[at]), batch.column(0).take(pa.array(row)), pa.array((at - w.first[row - a]).astype(np.int32))], ["h", "doc_id", "pos"]
+                    [_i64(whole[pos + w.first[row - a]]), batch.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32))], ["h", "doc_id", "pos"]
                 )
 
     return run
@@ -62,6 +103,7 @@ class Runs:
     def __init__(self, spark: SparkSession, buckets: int, fan: int = FAN):
         self.spark, self.buckets, self.fan = spark, buckets, fan
         self.levels: list[list[str]] = []
+        self.wider: Runs | None = None  # whole windows of later occurrences in other surroundings
         self.name = "fp_" + uuid.uuid4().hex[:10]
         self.made = 0
 
@@ -91,8 +133,17 @@ class Runs:
             self.levels[level] = []
             level += 1
 
+    def drop(self, name: str) -> None:
+        """Remove a run that no later plan reads."""
+        (path,) = {x.rpartition("/")[0] for x in self.spark.table(name).inputFiles()} or {None}
+        self.spark.sql(f"DROP TABLE {name}")
+        if path:
+            drop_tables(self.spark, path)
+
     def forget(self) -> None:
         """Drop the session's names; files that plans may still read stay until the application ends."""
+        if self.wider:
+            self.wider.forget()
         for t in self.spark.catalog.listTables():
             if t.name.startswith(self.name):
                 self.spark.sql(f"DROP TABLE {t.name}")
@@ -137,26 +188,49 @@ def _aligned(min_words: int):
     return run
 
 
-def ingest(runs: Runs, batch: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Match one batch (doc_id, text) with history and itself, then make it history.
-
-    Returns matched windows: doc_id, pos, source_id, source_pos."""
-    spark = batch.sparkSession
-    prints = batch.mapInArrow(_fingerprints(min_words), "h long, doc_id long, pos int")
-    new = spark.table(runs.write(prints.repartition(runs.buckets, "h"), "batch"))
-    first = Window.partitionBy("h").orderBy("doc_id", "pos")
-    found = new.withColumn("self", F.first(F.struct("doc_id", "pos")).over(first))
+def _matched(runs: Runs, prints: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """``prints`` (h, doc_id, pos, extra) with their first occurrence in the batch (self) and in history (old); the batch's table."""
+    spark = runs.spark
+    batch = runs.write(prints.repartition(runs.buckets, "h"), "batch")
+    place = F.struct("doc_id", "pos", *extra)
+    found = spark.table(batch).withColumn("self", F.first(place).over(Window.partitionBy("h").orderBy("doc_id", "pos")))
     sources = []
     for i, run in enumerate(runs.history()):
-        old = spark.table(run).select(F.col("h").alias(f"h{i}"), F.struct("doc_id", "pos").alias(f"s{i}"))
+        old = spark.table(run).select(F.col("h").alias(f"h{i}"), place.alias(f"s{i}"))
         found = found.join(old.hint("merge"), F.col("h") == F.col(f"h{i}"), "left")
         sources.append(F.col(f"s{i}"))
-    known = F.coalesce(*sources) if sources else F.lit(None).cast("struct<doc_id: bigint, pos: int>")
-    found = found.select("h", "doc_id", "pos", "self", known.alias("old"))
-    source = F.coalesce("old", "self")
-    hits = cut(found.filter(source != F.struct("doc_id", "pos")).select("doc_id", "pos", source["doc_id"].alias("source_id"), source["pos"].alias("source_pos")), "fp-hits")
-    runs.add(found.filter(F.col("old").isNull() & (F.col("self") == F.struct("doc_id", "pos"))).select("h", "doc_id", "pos"))
-    return hits
+    known = F.coalesce(*sources) if sources else F.lit(None).cast(found.schema["self"].dataType)
+    found = found.select("h", "doc_id", "pos", *extra, "self", known.alias("old"))
+    return found.withColumn("source", F.coalesce("old", "self")), batch
+
+
+REPEATED = "(source.doc_id <> doc_id OR source.pos <> pos)"
+HIT = ("doc_id", "pos", "source.doc_id AS source_id", "source.pos AS source_pos")
+
+
+def ingest(runs: Runs, batch: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Match one batch (doc_id, text) with history and itself, then make it history.
+
+    Returns matched windows: doc_id, pos, source_id, source_pos."""
+    prints = batch.mapInArrow(_fingerprints(min_words), "h long, c long, doc_id long, pos int")
+    found, name = _matched(runs, prints, ("c",))
+    hits = cut(found.filter(REPEATED).selectExpr(*HIT, "source.c <> c AS other"), "fp-hits")
+    runs.add(found.filter(f"old IS NULL AND NOT {REPEATED}").select("h", "c", "doc_id", "pos"))
+    runs.drop(name)
+    # other surroundings than at the first occurrence: the whole windows may have been seen elsewhere
+    other = cut(hits.filter("other").groupBy("doc_id").agg(F.collect_list("pos").alias("at")).withColumnRenamed("doc_id", "d"), "fp-other")
+    hits = hits.drop("other")
+    n, places = other.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    if not n:
+        return hits
+    if runs.wider is None:
+        runs.wider = Runs(runs.spark, runs.buckets, runs.fan)
+    texts = batch.join(small(other, 24 * n + 4 * places, 1), F.col("doc_id") == F.col("d")).select("doc_id", "text", "at")
+    found, name = _matched(runs.wider, texts.mapInArrow(_whole(min_words), "h long, doc_id long, pos int"))
+    more = cut(found.filter(REPEATED).selectExpr(*HIT), "fp-hits")
+    runs.wider.add(found.filter(f"old IS NULL AND NOT {REPEATED}").select("h", "doc_id", "pos"))
+    runs.wider.drop(name)
+    return hits.union(more)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, batches: int = BATCHES, fan: int = FAN) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from morphlake.llm import fpindex
 from tests.llm.fixtures import DOCS, awkward, clashing, empty, prose, rows
 
@@ -61,3 +63,17 @@ def test_compaction_keeps_every_hash(spark):
     again = fpindex.ingest(runs, docs.selectExpr("doc_id + 100 AS doc_id", "text"))
     assert again.count() == n
     runs.forget()
+
+
+def test_first_occurrence_in_other_surroundings(spark):
+    """Half windows whose first occurrence is in a short excerpt or in a copy edited nearby."""
+    p = prose(40, 60)
+    texts = [f"{' '.join(p.split()[:45])} {prose(41, 60)}", f"{prose(42, 30)} {p} {prose(43, 30)}", f"{prose(44, 10)} {p} {prose(45, 10)}"]
+    base = prose(46, 400).split()
+    for copy in range(8):
+        r = random.Random(copy)
+        texts.append(" ".join(f"edit{copy}x{i}" if r.random() < 1 / 30 else x for i, x in enumerate(base)))
+    texts = dict(enumerate(texts))
+    docs = spark.createDataFrame(rows(*texts.values()), DOCS)
+    for batches in (1, 3, 7):
+        assert covered(fpindex.repeated_spans(docs, batches=batches).collect(), texts) == brute(texts, fpindex.MIN_WORDS)
