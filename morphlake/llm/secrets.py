@@ -1,6 +1,6 @@
 """Secret scan with structural confirmation.
 
-A cheap pattern finds candidates: runs of base64 or hex characters, PEM blocks and dotted signed tokens. None is
+A cheap pattern finds candidates: runs of base64 or hex characters (also straight after NAME=, hex also after 0x), PEM blocks and dotted signed tokens. None is
 reported for its looks. Each is decoded and its structure parsed: DER with all nested lengths consistent down to
 the last byte (PKCS#1, PKCS#8, SEC 1 and encrypted keys), OpenSSH's length-prefixed private key format, the header
 and claims of a signed token with a signature of the length that its algorithm has. A bare hex or base64 value has
@@ -35,8 +35,8 @@ PREFILTER = "[A-Za-z0-9+/_=-]{24}|-----BEGIN "
 CANDIDATE = re.compile(
     r"(?P<pem>-----BEGIN (?P<label>[A-Z0-9 ]*PRIVATE KEY)-----(?P<body>[A-Za-z0-9+/=\s\\:,.-]*?)-----END (?P=label)-----)"
     r"|(?P<jwt>(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*)"
-    r"|(?P<hex>(?<![A-Za-z0-9+/_-])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9+/_=-]))"
-    r"|(?P<b64>(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-]))"
+    r"|(?P<hex>(?<![A-Za-z0-9+/_-])(?:0[xX])?(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9+/_=-]))"
+    r"|(?P<b64>(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-]))"
 )
 ASSIGNED = re.compile(
     r"(?:^|[^A-Za-z0-9])(?:[A-Za-z0-9]+[_-])*(?P<name>tokens?|secrets?|passwords?|passwd|pwd|api[_-]?keys?|access[_-]?keys?|private[_-]?keys?|keys?|auth|credentials?|bearer)"
@@ -166,6 +166,8 @@ def _confirm(m: re.Match, text: str) -> tuple[str, int, str] | None:
         found = signed_token(m["jwt"])
         return found and (found[0], found[2], found[1])
     value = m["hex"] or m["b64"]
+    if m["hex"] and value[1] in "xX":
+        value = value[2:]
     if m["hex"]:
         data = bytes.fromhex(value) if len(value) % 2 == 0 else None
     else:

@@ -93,3 +93,31 @@ def test_long_text_is_scanned_whole(spark):
     docs = spark.createDataFrame(rows(f"{long} {FOUND['hex_secret']}"), DOCS)
     assert [r.kind for r in secrets.scan(docs).collect()] == ["hex_secret"]
     assert os.path.basename(secrets.__file__) == "secrets.py"
+
+
+VALUE, HEX, DER = base64.b64encode(rand(32, 4)).decode(), rand(32).hex(), base64.b64encode(rsa()).decode()
+TIGHT = {
+    f"SECRET_KEY={VALUE}": ("base64_secret", VALUE),
+    f"https://example.org/?api_key={VALUE.rstrip('=')}&x=1": ("base64_secret", VALUE.rstrip("=")),
+    f"A_NAME_OF_MORE_THAN_24_CHARACTERS_SECRET={VALUE}": ("base64_secret", VALUE),
+    f"PRIVATE_KEY={DER}": ("rsa_private_key", DER),
+    f"api_key={HEX}": ("hex_secret", HEX),
+    f"api_key=0x{HEX}": ("hex_secret", f"0x{HEX}"),
+    f"secret: 0X{HEX.upper()}": ("hex_secret", f"0X{HEX.upper()}"),
+}
+
+
+@pytest.mark.parametrize("text", TIGHT)
+def test_value_straight_after_its_name_or_0x(text):
+    ((kind, a, b, _, _),) = secrets.findings(f"é {text} after")
+    assert (kind, f"é {text} after"[a:b]) == TIGHT[text]
+
+
+def test_tight_values_are_redacted(spark):
+    docs = spark.createDataFrame(rows(*TIGHT), DOCS)
+    for r in secrets.redact(docs).collect():
+        assert TIGHT[[*TIGHT][r.doc_id]][1] not in r.text and "[SECRET:" in r.text
+
+
+def test_names_without_secrets_stay():
+    assert secrets.findings(f"checksum={VALUE} commit=0x{HEX}") == []
