@@ -83,3 +83,19 @@ def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def parallel(df: DataFrame) -> int:
     """Shuffle partitions configured for this session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(doc_id, label): the lowest id of each document's connected group, by propagation and pointer jumping."""
+    a, b = F.col("doc_id").alias("doc_id"), F.col("keeper_id").alias("nbr")
+    edges = cut(links.select(a, b).union(links.select(F.col("keeper_id"), F.col("doc_id"))), "groups-edges")
+    labels = cut(edges.groupBy("doc_id").agg(F.least("doc_id", F.min("nbr")).alias("label")), "groups-labels")
+    while True:
+        of = labels.select(F.col("doc_id").alias("o"), F.col("label").alias("of"))
+        seen = edges.join(of, F.col("nbr") == F.col("o")).groupBy("doc_id").agg(F.min("of").alias("seen"))
+        least = labels.join(seen, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "seen").alias("l"))
+        jumped = least.join(of, F.col("l") == F.col("o")).select("doc_id", F.least("l", "of").alias("label"), (F.least("l", "of") < F.col("old")).alias("moved"))
+        now = cut(jumped, "groups-labels")
+        if now.filter("moved").isEmpty():
+            return now.drop("moved")
+        labels = now.drop("moved")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import cut, pick, shielded, small, table
+from morphlake.llm.common import components, cut, pick, shielded, small, table
 from morphlake.llm.textkit import PUNCT, U, Words, mix, slices, utf8
 
 SHINGLE = 5  # words
@@ -225,7 +225,7 @@ def near_duplicates(
     settled = tested.filter(F.col("containment") >= threshold).select("doc_id", F.col("cand_id").alias("keeper_id"), "containment")
 
     # the unsettled stand for the groups so far: each meets all members of its buckets that aren't in its own group
-    groups = _components(settled)
+    groups = components(settled)
     rest = buckets.join(settled.select("doc_id"), "doc_id", "left_anti").select("key", F.col("doc_id").alias("u"), F.col("size").alias("size_u"))
     tops = settled.select("doc_id").join(groups, "doc_id").select(F.col("doc_id").alias("m"), "label")
     top_of = groups.join(settled.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("top"), F.col("label").alias("l"))
@@ -240,29 +240,13 @@ def near_duplicates(
     links = cut(settled.union(checked.select("doc_id", F.col("cand_id").alias("keeper_id"), "containment")), "minhash-links")
 
     closest = links.select("doc_id", "containment").union(links.select("keeper_id", "containment")).groupBy("doc_id").agg(F.max("containment").alias("containment"))
-    labels = _components(links)
+    labels = components(links)
     near = labels.filter("doc_id <> label").join(closest, "doc_id").select("doc_id", F.col("label").alias("keeper_id"), "containment")
     top = labels.select(F.col("doc_id").alias("u"), F.col("label"))
     equal = equal.join(top, equal.keeper_id == top.u, "left").select("doc_id", F.coalesce("label", "keeper_id").alias("keeper_id"), "containment")
     return near.union(equal)
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """(doc_id, label): the lowest id of each document's connected group, by propagation and pointer jumping."""
-    a, b = F.col("doc_id").alias("doc_id"), F.col("keeper_id").alias("nbr")
-    edges = cut(links.select(a, b).union(links.select(F.col("keeper_id"), F.col("doc_id"))), "minhash-edges")
-    labels = cut(edges.groupBy("doc_id").agg(F.least("doc_id", F.min("nbr")).alias("label")), "minhash-labels")
-    while True:
-        of = labels.select(F.col("doc_id").alias("o"), F.col("label").alias("of"))
-        seen = edges.join(of, F.col("nbr") == F.col("o")).groupBy("doc_id").agg(F.min("of").alias("seen"))
-        least = labels.join(seen, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "seen").alias("l"))
-        jumped = least.join(of, F.col("l") == F.col("o")).select("doc_id", F.least("l", "of").alias("label"), (F.least("l", "of") < F.col("old")).alias("moved"))
-        now = cut(jumped, "minhash-labels")
-        if now.filter("moved").isEmpty():
-            return now.drop("moved")
-        labels = now.drop("moved")
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The documents without those that ``near_duplicates`` names, and with one row of each repeated id."""
     gone = cut(near_duplicates(docs, id_col, text_col, **parameters).select(F.col("doc_id").alias("__gone")), "minhash-gone")
