@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only if its measured rows times its width stay below this.
 BROADCAST_BYTES = 48 << 20
 
+#: Bytes of an Arrow batch sent to a worker, which holds several times as much while it works on it.
+BATCH_BYTES = 4 << 20
+
 _roots: dict[str, str] = {}
 
 
@@ -80,6 +85,25 @@ def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*new.values()), new
 
 
+def arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of a bounded size in bytes, after which the worker gives back what it doesn't need."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+    def run(batches):
+        yield from function(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not every C library has it
+            pass
+
+    return df.mapInArrow(run, schema)
+
+
 def parallel(df: DataFrame) -> int:
     """Shuffle partitions configured for this session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

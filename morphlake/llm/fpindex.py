@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import cut, drop_tables, new_path, parallel, pick, small, table
+from morphlake.llm.common import arrow, cut, drop_tables, new_path, parallel, pick, small, table
 from morphlake.llm.repeats import _i64
 from morphlake.llm.textkit import U, Words, mix, powers, slices, utf8
 
@@ -212,7 +212,7 @@ def ingest(runs: Runs, batch: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     """Match one batch (doc_id, text) with history and itself, then make it history.
 
     Returns matched windows: doc_id, pos, source_id, source_pos."""
-    prints = batch.mapInArrow(_fingerprints(min_words), "h long, c long, doc_id long, pos int")
+    prints = batch.transform(arrow, _fingerprints(min_words), "h long, c long, doc_id long, pos int")
     found, name = _matched(runs, prints, ("c",))
     hits = cut(found.filter(REPEATED).selectExpr(*HIT, "source.c <> c AS other"), "fp-hits")
     runs.add(found.filter(f"old IS NULL AND NOT {REPEATED}").select("h", "c", "doc_id", "pos"))
@@ -226,7 +226,7 @@ def ingest(runs: Runs, batch: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     if runs.wider is None:
         runs.wider = Runs(runs.spark, runs.buckets, runs.fan)
     texts = batch.join(small(other, 24 * n + 4 * places, 1), F.col("doc_id") == F.col("d")).select("doc_id", "text", "at")
-    found, name = _matched(runs.wider, texts.mapInArrow(_whole(min_words), "h long, doc_id long, pos int"))
+    found, name = _matched(runs.wider, texts.transform(arrow, _whole(min_words), "h long, doc_id long, pos int"))
     more = cut(found.filter(REPEATED).selectExpr(*HIT), "fp-hits")
     runs.wider.add(found.filter(f"old IS NULL AND NOT {REPEATED}").select("h", "doc_id", "pos"))
     runs.wider.drop(name)
@@ -267,7 +267,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a = texts.select(F.col("doc_id").alias("a"), "text")
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("source_text"))
     both = pairs.join(a, F.col("doc_id") == F.col("a")).join(b, F.col("source_id") == F.col("b"))
-    return both.select("doc_id", "text", "source_id", "source_text", "places").mapInArrow(_aligned(min_words), SPAN).distinct()
+    return both.select("doc_id", "text", "source_id", "source_text", "places").transform(arrow, _aligned(min_words), SPAN).distinct()
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from morphlake.llm.common import pick, table
+from morphlake.llm.common import arrow, pick, table
 
 NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
             columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], ["doc_id", "license", "begin", "end", "errors", "matched"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SPAN}")
+    return docs.transform(arrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SPAN}")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

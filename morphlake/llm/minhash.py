@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import components, cut, pick, shielded, small, table
+from morphlake.llm.common import arrow, components, cut, pick, shielded, small, table
 from morphlake.llm.textkit import PUNCT, U, Words, mix, slices, utf8
 
 SHINGLE = 5  # words
@@ -173,7 +173,7 @@ def _exact(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("doc_id", "cand_id").join(a, F.col("doc_id") == F.col("a")).join(b, F.col("cand_id") == F.col("b"))
-    got = both.select("doc_id", "cand_id", "text_a", "text_b").mapInArrow(_contained(k), "doc_id long, cand_id long, containment double")
+    got = both.select("doc_id", "cand_id", "text_a", "text_b").transform(arrow, _contained(k), "doc_id long, cand_id long, containment double")
     return got.groupBy("doc_id", "cand_id").agg(F.max("containment").alias("containment"))  # ids may repeat
 
 
@@ -187,7 +187,7 @@ def near_duplicates(
     layouts = sorted({(r, max(b for _, r2, b in bands if r2 == r)) for _, r, _ in bands})
     starts = {r: sum(b for _, b in layouts[:i]) for i, (r, _) in enumerate(layouts)}
 
-    signed = docs.mapInArrow(_signatures(k, hashes, layouts), "doc_id long, size int, set_a long, set_b long, sketch binary, keys array<long>")
+    signed = docs.transform(arrow, _signatures(k, hashes, layouts), "doc_id long, size int, set_a long, set_b long, sketch binary, keys array<long>")
     signed = cut(signed.filter("size > 0"), "minhash-sets")
     light = signed.select("doc_id", "size", "set_a", "set_b").groupBy("doc_id").agg(F.max(F.struct("size", F.negative("set_a").alias("na"), F.negative("set_b").alias("nb"))).alias("s"))
     light = light.select("doc_id", "s.size", F.negative("s.na").alias("set_a"), F.negative("s.nb").alias("set_b"))
@@ -214,7 +214,7 @@ def near_duplicates(
         b = sketches.select(F.col("doc_id").alias("ib"), F.col("sketch").alias("sketch_b"))
         both = pairs.join(a, F.col("doc_id") == F.col("ia")).join(b, F.col("cand_id") == F.col("ib"))
         both = both.select("doc_id", "cand_id", "size_a", "size_b", F.lit(threshold).alias("threshold"), "sketch_a", "sketch_b")
-        return both.mapInArrow(_estimated, "doc_id long, cand_id long, est double")
+        return both.transform(arrow, _estimated, "doc_id long, cand_id long, est double")
 
     met = [buckets.select("band", F.col("doc_id"), F.col("size").alias("size_a"), F.col(f"{c}.doc_id").alias("cand_id"), F.col(f"{c}.size").alias("size_b")) for c in ("lead", "prev")]
     first = met[0].union(met[1]).filter(f"cand_id IS NOT NULL AND doc_id <> cand_id AND {fits}")

@@ -6,8 +6,9 @@ an automaton's matches stores, for every prefix, the one matching token that is
 what stands before it; the ids are then recovered backwards. No merge loop runs over a text.
 
 A piece never has a space mark behind another character, so a text falls into words (a space mark and what follows
-it) that can be encoded on their own; a worker remembers the words that it has seen. Words with several space
-marks in a row, whose pieces tie in score, take the plain merge loop.
+it, or several marks in a row and what follows them) that can be encoded on their own; a worker remembers the shorter
+ones that it has seen. Merges of equal score go from left to right, which is as good an order as any for the
+compatibility of neighbours, so runs of marks, whose pieces tie, need no other way.
 
 Encoding follows the model's own settings: a space mark is put in front, spaces become marks, and a character
 without a piece becomes its UTF-8 bytes. Decoding is the inverse; a text that itself holds the mark U+2581 decodes
@@ -27,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import pick, table
+from morphlake.llm.common import arrow, pick, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words, and token pairs, remembered in each of a worker's two generations (results don't depend on it).
-REMEMBERED = 200_000
+#: Words, and token pairs, remembered in each of a worker's two generations, and characters of such a word at most, so that
+#: memory is bounded (results don't depend on it).
+REMEMBERED = 60_000
+LONGEST = 48
 
 RESULT = "ids array<int>, n_ids int, exact boolean"
 
@@ -124,7 +127,7 @@ class PieceModel:
                     limit, strict, a = made_a, True, self.split[a][1]
                 else:
                     limit, strict, b = made_b, False, self.split[b][0]
-        if len(self.pairs) >= 2 * REMEMBERED:
+        if len(self.pairs) >= 4 * REMEMBERED:
             self.pairs.clear()
         self.pairs[left, right] = ok
         return ok
@@ -146,8 +149,6 @@ class PieceModel:
         return out[::-1]
 
     def word(self, w: str) -> list[int]:
-        if MARK * 2 in w:
-            return list(chain.from_iterable([self.id[p]] if p in self.id else self._bytes(p) for p in self._merge(w)[0]))
         out: list[int] = []
         known = ""
         for c in w:
@@ -194,6 +195,8 @@ class PieceModel:
         return [*out, now] if now else out
 
     def _known(self, mark: str, w: str) -> list[int]:
+        if len(w) > LONGEST:
+            return self.word(mark + w)
         words, before = (self.words, self.words_before) if mark else (self.bare, self.bare_before)
         ids = words.get(w)
         if ids is None:
@@ -277,12 +280,12 @@ def _decoded(path: str):
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
     """doc_id, ids, n_ids, and whether decoding the ids gives the text back."""
     docs = pick(docs, doc_id=id_col, text=text_col)
-    return docs.mapInArrow(_encoded(path), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
+    return docs.transform(arrow, _encoded(path), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = MODEL) -> DataFrame:
     encoded = pick(encoded, doc_id=id_col, ids=ids_col)
-    return encoded.mapInArrow(_decoded(path), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return encoded.transform(arrow, _decoded(path), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def with_pieces(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataFrame:
@@ -290,7 +293,7 @@ def with_pieces(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> D
     keep = [c for c in docs.columns if c not in ("ids", "n_ids", "exact")]
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("__text"))
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", " + RESULT
-    out = named.mapInArrow(_encoded(path), schema)
+    out = named.transform(arrow, _encoded(path), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "ids", "n_ids", "exact")
 
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import cut, pick, small, table
+from morphlake.llm.common import arrow, cut, pick, small, table
 from morphlake.llm.textkit import BASE, U, Words, mix, powers, slices, utf8, winnow
 
 MIN_WORDS = 50
@@ -340,7 +340,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = small(several, n, 32)
     unique = docs.join(several, F.col("k") == F.col("k2"), "left").filter("one IS NULL OR one = doc_id")
     unique = unique.select("k", "text", F.coalesce("one", "doc_id").alias("one"), F.coalesce("n", F.lit(1)).alias("n"))
-    anchors = unique.select("k", "text").mapInArrow(_anchors(min_words), "k long, h long, pos int")
+    anchors = unique.select("k", "text").transform(arrow, _anchors(min_words), "k long, h long, pos int")
     anchors = anchors.join(several.select("k2"), F.col("k") == F.col("k2"), "left")
     weighted = anchors.select("k", "h", "pos", F.when(F.col("k2").isNull(), 1).otherwise(2).alias("m"))
     shared = weighted.withColumn("n", F.sum("m").over(Window.partitionBy("h"))).filter("n > 1")
@@ -348,14 +348,14 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = shared.count()
     texts = unique.join(small(shared.select(F.col("k").alias("s")), n, 24), F.col("k") == F.col("s"), "left_semi").dropDuplicates(["k"])
     texts = cut(texts, "shared-texts")
-    starts = texts.join(shared, "k").select("k", "text", "anchors").mapInArrow(_starts(min_words), "k long, win long, front long, pos int, stop int")
+    starts = texts.join(shared, "k").select("k", "text", "anchors").transform(arrow, _starts(min_words), "k long, win long, front long, pos int, stop int")
     by = Window.partitionBy("win")
     counted = starts.select("front", "k", "pos", "stop", F.min("front").over(by).alias("f0"), F.max("front").over(by).alias("f1"))
     diverse = counted.filter("f0 <> f1 OR pos = 0").select("k", "front", "pos", "stop")
     diverse = diverse.groupBy("k").agg(F.collect_list(F.struct("front", "pos", "stop")).alias("starts"))
-    suffixes = texts.join(diverse, "k").select("k", "one", "n", "text", "starts").mapInArrow(_slices(min_words), SLICE_ROW)
+    suffixes = texts.join(diverse, "k").select("k", "one", "n", "text", "starts").transform(arrow, _slices(min_words), SLICE_ROW)
     grouped = suffixes.repartition("anchor").sortWithinPartitions("anchor")
-    tree = cut(grouped.mapInArrow(_tree(min_words), TREE), "repeat-tree")
+    tree = cut(grouped.transform(arrow, _tree(min_words), TREE), "repeat-tree")
     # the other owners of a text that is a repeat by itself
     others = tree.filter("whole").withColumnRenamed("doc_id", "first_id").join(owners.withColumnRenamed("k", "k2"), F.col("k") == F.col("k2")).filter("doc_id <> first_id")
     return tree.select(*RESULT).union(others.select(*RESULT))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import pick, shielded, table
+from morphlake.llm.common import arrow, pick, shielded, table
 
 FINDING = "kind string, begin int, end int, n_bytes int, detail string"
 #: Any text with a finding matches this; the JVM tests it before a text goes to Python.
@@ -214,7 +214,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], names)
 
     likely = docs.filter(F.col("text").rlike(PREFILTER))
-    return likely.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FINDING}")
+    return likely.transform(arrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FINDING}")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are worked on in slices of about so many bytes, to bound memory.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 _pow = {"n": 0, "up": np.ones(1, U), "down": np.ones(1, U)}
 

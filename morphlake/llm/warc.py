@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import cut, pick, table
+from morphlake.llm.common import arrow, cut, pick, table
 
 #: Index rows per merge task, and sampled keys per bound.
 RANGE_ROWS = 50_000
@@ -157,7 +157,7 @@ def histories(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     else:
         runs = runs.withColumn("rng", F.lit(0))
     schema = "url_key string, capture_ts string, page_id long, digest string, length long, rng int, capture_no long, changed boolean, pos long"
-    merged = cut(runs.repartitionById(ranges, F.col("rng")).mapInArrow(_merge, schema), "warc-merged")
+    merged = cut(runs.repartitionById(ranges, F.col("rng")).transform(arrow, _merge, schema), "warc-merged")
     sizes = {r[0]: r[1] for r in merged.groupBy("rng").count().collect()}  # one number per merge task
     starts, total = [], 0
     for r in range(ranges):
