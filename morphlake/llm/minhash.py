@@ -12,9 +12,11 @@ times its shingles (a short excerpt of a long text is the business of substring
    alone. Partitions share their band keys, so every document is emitted once.
 4. Round A is linear: every member of a bucket meets the bucket's leader and its own predecessor in dominance
    order. The best of them by sketch is checked exactly on the texts. Nearly all copies are settled here.
-5. Round B takes the documents that are still unsettled, one for each group so far, and meets *all* members of
-   their buckets outside the group, larger and smaller, so no candidate is dropped; sketches that are four standard
-   deviations short of the pair's own Jaccard threshold are refused, the rest is checked exactly.
+5. Round B looks at the buckets that hold members of several groups so far. All pairs of documents of different
+   groups that meet there are candidates, settled or not; sketches that are four standard deviations short of the
+   pair's own Jaccard threshold are refused. Of each pair of groups the most alike candidates are checked exactly
+   first; groups that turn out to be linked are one from then on, and the rest of their candidates can't change
+   anything. This goes on, with more candidates each time, until none between different groups is left unchecked.
 6. The verified pairs are edges; of each connected group the lowest id stays. So copies of one original that differ
    too much from each other still leave one document.
 
@@ -22,7 +24,7 @@ Defined results: null, empty or word-less texts have no shingles and are never d
 than a shingle are one shingle. Rows with a null id can't be named: they are ignored by ``near_duplicates`` and
 kept by ``keep_one``. Repeated ids count as one document (the one with most shingles, then the lowest set
 fingerprint), and ``keep_one`` keeps one of these rows. An empty table gives an
-empty result. Extra columns are ignored, and kept by ``keep_one``.
+empty result. Extra columns are ignored, and kept by ``keep_one``. Ids are whole numbers (cast to long; others are null).
 """
 
 from __future__ import annotations
@@ -39,7 +41,9 @@ from morphlake.llm.textkit import PUNCT, U, Words, mix, slices, utf8
 
 SHINGLE = 5  # words
 THRESHOLD = 0.6
-MAX_RATIO = 1.5
+MAX_RATIO = 2.0
+#: Candidates of a pair of groups that are checked in the first round, and how many times as many in each further one.
+FIRST_CHECKED, MORE_CHECKED = 2, 8
 HASHES = 243
 RECALL = 0.9  # of a pair exactly at the worst Jaccard threshold of its partitions
 SEED = 20240607
@@ -182,7 +186,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document that goes: its id, the id that stays in its group, and the greatest containment of a
     verified pair that it is part of (1.0 for an equal shingle set)."""
-    docs = pick(docs, doc_id=id_col, text=text_col).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.expr("try_cast(doc_id AS long)")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     bands = ensemble(threshold, max_ratio, hashes)
     layouts = sorted({(r, max(b for _, r2, b in bands if r2 == r)) for _, r, _ in bands})
     starts = {r: sum(b for _, b in layouts[:i]) for i, (r, _) in enumerate(layouts)}
@@ -224,23 +228,34 @@ def near_duplicates(
     tested = cut(_exact(docs, cut(chosen, "minhash-first"), k), "minhash-tested")
     settled = tested.filter(F.col("containment") >= threshold).select("doc_id", F.col("cand_id").alias("keeper_id"), "containment")
 
-    # the unsettled stand for the groups so far: each meets all members of its buckets that aren't in its own group
+    # round B: candidates between different groups, the likeliest of each pair of groups first
+    named = lambda df, c, g: df.join(groups.select(F.col("doc_id").alias("m"), F.col("label").alias(g)), F.col(c) == F.col("m"), "left").withColumn(g, F.coalesce(g, c)).drop("m")
     groups = components(settled)
-    rest = buckets.join(settled.select("doc_id"), "doc_id", "left_anti").select("key", F.col("doc_id").alias("u"), F.col("size").alias("size_u"))
-    tops = settled.select("doc_id").join(groups, "doc_id").select(F.col("doc_id").alias("m"), "label")
-    top_of = groups.join(settled.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("top"), F.col("label").alias("l"))
-    inside = cut(tops.join(top_of, F.col("label") == F.col("l")).select("m", "top"), "minhash-tops")
-    others = buckets.select("key", "band", F.col("doc_id").alias("v"), F.col("size").alias("size_v")).join(inside, F.col("v") == F.col("m"), "left").drop("m")
-    met_all = rest.join(others, "key").filter("u <> v AND (top IS NULL OR top <> u)")
-    u_below = "(size_v > size_u OR (size_v = size_u AND v < u))"
-    second = met_all.selectExpr("band", *[f"IF({u_below}, {x}, {y}) AS {z}" for x, y, z in (("u", "v", "doc_id"), ("v", "u", "cand_id"), ("size_u", "size_v", "size_a"), ("size_v", "size_u", "size_b"))])
-    second = second.filter(fits).select("doc_id", "cand_id", "size_a", "size_b").distinct()
+    placed = named(buckets.select("key", "band", "doc_id", "size"), "doc_id", "g")
+    several = placed.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("key")
+    placed = cut(placed.join(several, "key", "left_semi"), "minhash-mixed")
+    a = placed.select("key", "band", "doc_id", F.col("size").alias("size_a"), F.col("g").alias("g_a"))
+    b = placed.select("key", F.col("doc_id").alias("cand_id"), F.col("size").alias("size_b"), F.col("g").alias("g_b"))
+    second = a.join(b, "key").filter(f"g_a <> g_b AND (size_b > size_a OR (size_b = size_a AND cand_id < doc_id)) AND {fits}")
+    second = second.select("doc_id", "cand_id", "size_a", "size_b").distinct()
     second = second.join(tested.select("doc_id", "cand_id"), ["doc_id", "cand_id"], "left_anti")
-    checked = _exact(docs, cut(sketched(second), "minhash-second"), k).filter(F.col("containment") >= threshold)
-    links = cut(settled.union(checked.select("doc_id", F.col("cand_id").alias("keeper_id"), "containment")), "minhash-links")
+    left, links, many = cut(sketched(second), "minhash-second"), settled, FIRST_CHECKED
+    while True:
+        between = named(named(left, "doc_id", "g_a"), "cand_id", "g_b").filter("g_a <> g_b")
+        likeliest = Window.partitionBy(F.least("g_a", "g_b"), F.greatest("g_a", "g_b")).orderBy(F.desc("est"), "doc_id", "cand_id")
+        ranked = cut(between.withColumn("r", F.row_number().over(likeliest)).select("doc_id", "cand_id", "est", "r"), "minhash-ranked")
+        now = ranked.filter(f"r <= {many}")
+        if now.isEmpty():
+            break
+        checked = cut(_exact(docs, now, k).filter(F.col("containment") >= threshold), "minhash-checked")
+        links = links.union(checked.select("doc_id", F.col("cand_id").alias("keeper_id"), "containment"))
+        left, many = ranked.filter(f"r > {many}").drop("r"), many * MORE_CHECKED
+        if not checked.isEmpty():
+            groups = components(links)
+    links = cut(links, "minhash-links")
 
     closest = links.select("doc_id", "containment").union(links.select("keeper_id", "containment")).groupBy("doc_id").agg(F.max("containment").alias("containment"))
-    labels = components(links)
+    labels = groups
     near = labels.filter("doc_id <> label").join(closest, "doc_id").select("doc_id", F.col("label").alias("keeper_id"), "containment")
     top = labels.select(F.col("doc_id").alias("u"), F.col("label"))
     equal = equal.join(top, equal.keeper_id == top.u, "left").select("doc_id", F.coalesce("label", "keeper_id").alias("keeper_id"), "containment")
@@ -251,7 +266,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The documents without those that ``near_duplicates`` names, and with one row of each repeated id."""
     gone = cut(near_duplicates(docs, id_col, text_col, **parameters).select(F.col("doc_id").alias("__gone")), "minhash-gone")
     plain, new = shielded(docs)
-    key, text = F.col(new[id_col]), F.col(new[text_col])
+    key, text = F.expr(f"try_cast({new[id_col]} AS long)"), F.col(new[text_col])
     kept = plain.join(small(gone, gone.count(), 16), key == F.col("__gone"), "left_anti")
     again = cut(kept.select(key.alias("__again")).filter("__again IS NOT NULL").groupBy("__again").count().filter("count > 1").drop("count"), "minhash-again")
     n = again.count()

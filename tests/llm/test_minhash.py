@@ -37,6 +37,42 @@ def test_groups_match_brute_force(spark):
     assert got == brute(dict(enumerate(texts)))
 
 
+def window(words: list[str], at: int, n: int = 100) -> str:
+    return " ".join(words[at : at + n])
+
+
+def test_chains_of_revisions_are_one_group(spark):
+    """Settled documents of different groups are compared as well."""
+    w = prose(21, 400).split()
+    for starts in ((0, 75, 20, 55), (0, 38, 76, 114, 152), (114, 0, 76, 38, 152, 190)):
+        texts = [window(w, s) for s in starts]
+        got = {r.doc_id: r.keeper_id for r in minhash.near_duplicates(spark.createDataFrame(rows(*texts), DOCS)).collect()}
+        assert got == brute(dict(enumerate(texts))), starts
+
+
+def test_contained_in_a_longer_text(spark):
+    """Original and the same with other text behind it, up to the ratio of sizes."""
+    base = [prose(30 + i, 200) for i in range(4)]
+    texts = [*base, *[f"{b} {prose(60 + i, n)}" for i, (b, n) in enumerate(zip(base, (60, 120, 180, 260)))]]
+    got = {r.doc_id: r.keeper_id for r in minhash.near_duplicates(spark.createDataFrame(rows(*texts), DOCS)).collect()}
+    assert got == {4: 0, 5: 1, 6: 2} == brute(dict(enumerate(texts)))
+
+
+def test_hot_bucket(spark):
+    """A third of all rows share a template; some of these are near-duplicates, others aren't."""
+    head = prose(70, 90)
+    texts = [f"{head} {prose(100 + i // 3, 100)} {prose(500 + i, 8)}" for i in range(60)] + [prose(200 + i, 150) for i in range(60)]
+    docs = spark.createDataFrame(rows(*texts), DOCS)
+    got = {r.doc_id: r.keeper_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute(dict(enumerate(texts))) and len(got) == 40
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate([prose(1, 80), prose(1, 80), prose(2, 80)])] + [("x", prose(1, 80))], "doc_id string, text string")
+    assert [tuple(r) for r in minhash.near_duplicates(docs).select("doc_id", "keeper_id").collect()] == [(1, 0)]
+    assert sorted(r.doc_id for r in minhash.keep_one(docs).collect()) == ["0", "2", "x"]
+
+
 def test_recall_on_the_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = brute({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})
