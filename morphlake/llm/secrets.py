@@ -30,22 +30,27 @@ from morphlake.llm.common import arrow, pick, shielded, table
 
 FINDING = "kind string, begin int, end int, n_bytes int, detail string"
 #: Any text with a finding matches this; the JVM tests it before a text goes to Python.
-PREFILTER = "[A-Za-z0-9+/_=-]{24}|-----BEGIN "
+PREFILTER = "[A-Za-z0-9+/_-]{22}|eyJ[A-Za-z0-9_-]{10}|-----BEGIN "
 
 CANDIDATE = re.compile(
     r"(?P<pem>-----BEGIN (?P<label>[A-Z0-9 ]*PRIVATE KEY)-----(?P<body>[A-Za-z0-9+/=\s\\:,.-]*?)-----END (?P=label)-----)"
     r"|(?P<jwt>(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*)"
     r"|(?P<hex>(?<![A-Za-z0-9+/_-])(?:0[xX])?(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9+/_=-]))"
-    r"|(?P<b64>(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-]))"
+    r"|(?P<b64>(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}={0,2}(?![A-Za-z0-9+/_=-]))"
 )
-ASSIGNED = re.compile(
-    r"(?:^|[^A-Za-z0-9])(?:[A-Za-z0-9]+[_-])*(?P<name>tokens?|secrets?|passwords?|passwd|pwd|api[_-]?keys?|access[_-]?keys?|private[_-]?keys?|keys?|auth|credentials?|bearer)"
-    r"[\"']?\s*(?:[:=]|=>|:=)?\s*[\"'`]?$",
-    re.IGNORECASE,
+#: The end of a name that says what is assigned to it; with what may stand around it no longer than NAME_CHARS.
+NAME = re.compile(
+    r"(?<![A-Za-z0-9])(?P<name>tokens?|secrets?|passwords?|passwd|pwd|api[_-]?keys?|access[_-]?keys?|private[_-]?keys?|keys?|auth|credentials?|bearer)$", re.IGNORECASE
 )
+NAME_CHARS = 16
 KEY_BYTES = {16, 20, 24, 32, 40, 48, 64}
 SIGNATURE_BYTES = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EDDSA": 64}
 OPENSSH = b"openssh-key-v1\0"
+#: Algorithm identifiers of PKCS#8, by the structure of the key inside; beginnings of those of its encryption schemes.
+RSA_OIDS = ("2a864886f70d010101", "2a864886f70d01010a")
+EC_OID, DSA_OID = "2a8648ce3d0201", "2a8648ce380401"
+RAW_OIDS = {"2b656e": 32, "2b656f": 56, "2b6570": 32, "2b6571": 57}
+SCHEMES = ("2a864886f70d0105", "2a864886f70d010c01")
 
 
 def der(data: bytes, depth: int = 0) -> list | None:
@@ -76,28 +81,39 @@ def der(data: bytes, depth: int = 0) -> list | None:
     return out
 
 
+def _openssh(data: bytes) -> tuple[str, str] | None:
+    """Cipher, derivation and its options, the number of keys, a public key each, and the private ones in one blob."""
+
+    def field(at: int) -> tuple[bytes, int] | None:
+        n = int.from_bytes(data[at : at + 4], "big")
+        return (data[at + 4 : at + 4 + n], at + 4 + n) if at + 4 + n <= len(data) else None
+
+    at, fields = len(OPENSSH), []
+    while at < len(data):
+        if len(fields) == 3:
+            fields.append(data[at : at + 4])
+            at += 4
+            continue
+        got = field(at)
+        if not got:
+            return None
+        fields.append(got[0])
+        at = got[1]
+    if len(fields) < 6 or at != len(data):
+        return None
+    cipher, number, *public, private = fields[0], int.from_bytes(fields[3], "big"), *fields[4:]
+    kinds = [x[4 : 4 + int.from_bytes(x[:4], "big")] for x in public]
+    if number != len(public) or not all(re.fullmatch(rb"[a-zA-Z0-9@.-]{4,64}", x) for x in kinds):
+        return None
+    if not private or len(private) % 8 or cipher == b"none" and private[:4] != private[4:8]:
+        return None
+    return "openssh_private_key", f"cipher {cipher.decode('ascii', 'replace')}, {number} key"
+
+
 def key_encoding(data: bytes) -> tuple[str, str] | None:
     """Kind and description of a private key's encoding."""
     if data.startswith(OPENSSH):
-        at, fields = len(OPENSSH), []
-        for _ in range(3):
-            n = int.from_bytes(data[at : at + 4], "big")
-            if at + 4 + n > len(data):
-                return None
-            fields.append(data[at + 4 : at + 4 + n])
-            at += 4 + n
-        count = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        blobs = 0
-        while at + 4 <= len(data):
-            n = int.from_bytes(data[at : at + 4], "big")
-            if at + 4 + n > len(data):
-                return None
-            at += 4 + n
-            blobs += 1
-        if at != len(data) or count < 1 or blobs != count + 1:
-            return None
-        return "openssh_private_key", f"cipher {fields[0].decode('ascii', 'replace')}, {count} key"
+        return _openssh(data)
     if len(data) < 16 or data[0] != 0x30:
         return None
     tree = der(data)
@@ -108,16 +124,34 @@ def key_encoding(data: bytes) -> tuple[str, str] | None:
     if len(inner) >= 9 and all(t == 0x02 for t in tags[:9]):
         return "rsa_private_key", f"modulus {8 * len(inner[1][1].lstrip(bytes(1)))} bits"
     if tags[:3] == [0x02, 0x30, 0x04] and inner[1][1] and inner[1][1][0][0] == 0x06:
-        return "pkcs8_private_key", f"algorithm {inner[1][1][0][1].hex()}"
+        oid = inner[1][1][0][1].hex()
+        return ("pkcs8_private_key", f"algorithm {oid}") if _inside(oid, inner[2][1]) else None
     if tags[:2] == [0x02, 0x04] and inner[0][1] == b"\x01" and len(inner[1][1]) in (28, 32, 48, 66):
         return "ec_private_key", f"scalar {8 * len(inner[1][1])} bits"
     if len(inner) == 6 and all(t == 0x02 for t in tags):
         return "dsa_private_key", "6 integers"
     if tags == [0x30, 0x04] and inner[0][1] and inner[0][1][0][0] == 0x06:
-        return "encrypted_private_key", f"scheme {inner[0][1][0][1].hex()}"
+        oid, sealed = inner[0][1][0][1].hex(), inner[1][1]
+        if oid.startswith(SCHEMES) and sealed and len(sealed) % 8 == 0:
+            return "encrypted_private_key", f"scheme {oid}"
     return None
 
 
+def _inside(oid: str, data: bytes) -> bool:
+    """Whether the key inside PKCS#8 has the structure that its algorithm asks for (any, if it isn't a known one)."""
+    kind = (key_encoding(data) or ("",))[0]
+    if oid in RSA_OIDS:
+        return kind == "rsa_private_key"
+    if oid == EC_OID:
+        return kind == "ec_private_key"
+    parts = der(data) or []
+    if oid in RAW_OIDS:
+        return len(parts) == 1 and parts[0][0] == 0x04 and len(parts[0][1]) == RAW_OIDS[oid]
+    if oid == DSA_OID:
+        return len(parts) == 1 and parts[0][0] == 0x02
+    return bool(kind) or len(parts) == 1 and parts[0][0] in (0x02, 0x04, 0x30)
+
+
 def unbase64(s: str) -> bytes | None:
     s = s.rstrip("=")
     if len(s) % 4 == 1:
@@ -150,6 +184,23 @@ def signed_token(s: str) -> tuple[str, str, int] | None:
     return "signed_token", f"alg {head['alg']}", len(signature)
 
 
+def _named(text: str, at: int) -> str | None:
+    """The name that the value at this place is assigned to: a quote, an operator and any white space may stand between."""
+
+    def before(i: int, *marks: str) -> int:
+        return next((i - len(m) for m in marks if text.endswith(m, 0, i)), i)
+
+    def spaces(i: int) -> int:
+        while i and text[i - 1].isspace():
+            i -= 1
+        return i
+
+    i = spaces(before(at, '"', "'", "`"))
+    i = before(spaces(before(i, "=>", ":=", ":", "=")), '"', "'")
+    m = NAME.search(text[max(0, i - NAME_CHARS) : i])
+    return m and m["name"].lower()
+
+
 def _varied(data: bytes) -> bool:
     return len(set(data)) >= min(len(data), 24) * 0.6
 
@@ -178,9 +229,9 @@ def _confirm(m: re.Match, text: str) -> tuple[str, int, str] | None:
     if found:
         return found[0], len(data), found[1]
     if len(data) in KEY_BYTES and _varied(data) and (m["hex"] or re.search(r"\d", value) and re.search("[a-z]", value) and re.search("[A-Z]", value)):
-        named = ASSIGNED.search(text[max(0, m.start() - 60) : m.start()])
+        named = _named(text, m.start())
         if named:
-            return ("hex_secret" if m["hex"] else "base64_secret"), len(data), f"assigned to {named['name'].lower()}"
+            return ("hex_secret" if m["hex"] else "base64_secret"), len(data), f"assigned to {named}"
     return None
 
 
