@@ -6,8 +6,8 @@ The default ranges follow Unicode's block and script structure for the scripts t
 from __future__ import annotations
 
 import re
-from itertools import chain
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,16 +87,18 @@ def _default() -> list[tuple[int, int, int]]:
             r.append((low, high + 1, MASK[name]))
 
     put("SPACE", 0x20, (0x09, 0x0B), 0x0D)
-    put("NUMERIC", (0x30, 0x39), (0xFF10, 0xFF19))
+    put("NUMERIC", (0x30, 0x39), (0x2070, 0x209F), (0x2150, 0x218F), (0xFF10, 0xFF19))
     put("ALPHA", (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x236), (0x1E00, 0x1EF9), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A))
-    put("SYMBOL", (0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E), (0xA1, 0xBF), 0xD7, 0xF7, (0x2000, 0x206F), (0x2190, 0x2BFF), (0x3001, 0x3004), (0x3008, 0x3020))
+    put("SYMBOL", (0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E), (0xA1, 0xBF), 0xD7, 0xF7)
+    put("SYMBOL", (0x2000, 0x206F), (0x20A0, 0x214F), (0x2190, 0x23FF), (0x2460, 0x24FF), (0x2501, 0x26FE), (0x2700, 0x297F), (0x2A00, 0x2BFF))
+    put("SYMBOL", (0x3000, 0x303F), (0x3200, 0x32FE), (0x3300, 0x33FF), (0xFE30, 0xFE6B), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0xFFE0, 0xFFEF))
     put("GREEK", (0x374, 0x3FB))
     put("CYRILLIC", (0x400, 0x4F9), (0x500, 0x50F))
     put("HIRAGANA", (0x3041, 0x309F))
-    put("KATAKANA", (0x30A1, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F))
+    put("KATAKANA", (0x309B, 0x309C), (0x30A1, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F))
     put("NOOOVBOW", *map(ord, "ァィゥェォャュョヮ"), (0x30FB, 0x30FE), 0x3005)
     put("KANJI", (0x2E80, 0x2EF3), (0x2F00, 0x2FD5), 0x3005, 0x3007, (0x3400, 0x4DB5), (0x4E00, 0x9FFF), (0xF900, 0xFA2D), (0xFA30, 0xFA6A))
-    put("KANJINUMERIC", *map(ord, "一二三四五六七八九十百千万億兆"))
+    put("KANJINUMERIC", *map(ord, "〇一二三四五六七八九十百千万億兆"))
     return compile_ranges(r)
 
 
@@ -109,21 +111,20 @@ DEFAULT_PROPERTIES = {
 
 
 class Categories:
-    """Lookup of masks on the driver or in a worker."""
+    """Lookup of masks on the driver or in a worker: a table of all code points up to the last range's end."""
 
     def __init__(self, ranges: list[tuple[int, int, int]] = DEFAULT_RANGES):
         self.ranges = compile_ranges(ranges)
-        self._known: dict[str, int] = {}
+        self.table = np.full(max([0, *(high for _, high, _ in self.ranges)]) + 1, MASK["DEFAULT"], np.int32)
+        for low, high, m in self.ranges:
+            self.table[low:high] = m
 
     def mask(self, ch: str) -> int:
-        m = self._known.get(ch)
-        if m is None:
-            cp = ord(ch)
-            m = self._known[ch] = next((m for low, high, m in self.ranges if low <= cp < high), MASK["DEFAULT"])
-        return m
+        return int(self.table[min(ord(ch), len(self.table) - 1)])
 
-    def masks(self, text: str) -> list[int]:
-        return [self.mask(c) for c in text]
+    def masks(self, text: str) -> np.ndarray:
+        """Mask of each character; beyond the table's end (its last entry is no range's) DEFAULT."""
+        return self.table[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), len(self.table) - 1)]
 
 
 def ranges_table(spark: SparkSession, ranges: list[tuple[int, int, int]] = DEFAULT_RANGES) -> DataFrame:
@@ -135,6 +136,11 @@ def code_point(ch: Column) -> Column:
     return F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("int")
 
 
+def hex_value(text: Column) -> Column:
+    """Number of a text like 0x1F600; null if it isn't one."""
+    return F.when(text.rlike("^0x[0-9A-Fa-f]{1,15}$"), F.conv(F.substring(text, 3, 15), 16, 10).cast("long"))
+
+
 def mask_column(cp: Column, ranges: list[tuple[int, int, int]] = DEFAULT_RANGES) -> Column:
     """Category mask of a code point as one generated expression: a binary tree of comparisons, no join."""
 
@@ -157,7 +163,3 @@ def names_of(mask: Column) -> Column:
 def values_sql(ranges: list[tuple[int, int, int]] = DEFAULT_RANGES) -> str:
     """The ranges as an inline SQL table."""
     return "(VALUES " + ", ".join(f"({a}, {b}, {m})" for a, b, m in ranges) + ") AS r(low, high, mask)"
-
-
-def flat(parts) -> list:
-    return list(chain.from_iterable(parts))

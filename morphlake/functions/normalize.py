@@ -1,7 +1,7 @@
 """Text rewriting that keeps, for every output character, the original character that it came from.
 
 A rewriter maps a text to pieces (start, end, output): the output of a piece has the start of the piece as its
-origin. Rewriters run in order; origins compose.
+origin. Rewriters run in order; origins compose. ``steady`` is the shorter way where no character moves.
 """
 
 from __future__ import annotations
@@ -20,18 +20,20 @@ RESULT = "struct<original: string, modified: string, offsets: array<int>>"
 def default_ignored() -> set[str]:
     """Characters whose compatibility form would lose what they are: Roman numerals, spacing voice marks, radicals
     and compatibility ideographs."""
-    spans = [(0x2160, 0x2188), (0x309B, 0x309C), (0x2E80, 0x2EF3), (0x2F00, 0x2FD5), (0xF900, 0xFAD9)]
+    spans = [(0x2160, 0x217F), (0x309B, 0x309C), (0x2E80, 0x2EF3), (0x2F00, 0x2FD5), (0xF900, 0xFAD9)]
     return {chr(c) for a, b in spans for c in range(a, b + 1) if unicodedata.category(chr(c)) != "Cn"}
 
 
 def default_rules() -> dict[str, str]:
-    """A base and a voice mark to the composed letter, for half-width and full-width marks."""
+    """A kana and a voice mark to the composed letter: any of the marks after full-width kana, the half-width ones after
+    half-width kana. Letters that are rare (ヷ, ヸ, ヹ, ヺ) and iteration marks are left alone."""
     out = {}
-    for base in [*map(chr, range(0xFF66, 0xFF9E)), *map(chr, range(0x3041, 0x30FF))]:
-        for marks, combining in (("ﾞ゛", "゙"), ("ﾟ゜", "゚")):
-            one = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", base) + combining)
-            if len(one) == 1:
-                out |= {base + m: one for m in marks}
+    for half, bases in ((True, range(0xFF66, 0xFF9E)), (False, [*range(0x3041, 0x3097), *range(0x30A1, 0x30F7)])):
+        for base in map(chr, bases):
+            for marks, combining in (("ﾞ゛\u3099", "\u3099"), ("ﾟ゜\u309a", "\u309a")):
+                one = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", base) + combining)
+                if len(one) == 1 and one <= "ヴ":
+                    out |= {base + m: one for m in (marks[:1] if half else marks)}
     return out
 
 
@@ -63,6 +65,10 @@ class DefaultRewriter:
         keys = sorted(map(re.escape, self.rules), key=len, reverse=True)
         self.token = re.compile("|".join([*keys, "(?s:.)"]))
         self.known: dict[str, str] = dict(self.rules)
+        begins = {k[0] for k in self.rules}
+        latin = [c for c in map(chr, range(0x180)) if len(self.one(c)) == 1 and c not in begins]
+        self.latin = re.compile("[" + re.escape("".join(latin)) + "]*")
+        self.latin_table = str.maketrans({c: self.one(c) for c in latin})
 
     def one(self, c: str) -> str:
         out = self.known.get(c)
@@ -71,18 +77,31 @@ class DefaultRewriter:
             out = self.known[c] = low if low in self.keep else unicodedata.normalize("NFKC", low)
         return out
 
+    def steady(self, text: str) -> str | None:
+        """The rewritten text, if each character of it stands where its origin stands (plain Latin texts)."""
+        return text.translate(self.latin_table) if self.latin.fullmatch(text) else None
+
     def pieces(self, text: str):
         for m in self.token.finditer(text):
             yield m.start(), m.end(), self.one(m[0])
 
+    def apply(self, text: str) -> str:
+        plain = self.steady(text)
+        return "".join(map(self.one, self.token.findall(text))) if plain is None else plain
+
 
 class MarkCollapser:
     """Two or more prolonged-sound marks in a row become one symbol."""
 
     def __init__(self, marks: str = "ー-⁓〜〰", symbol: str = "ー"):
+        if not marks:
+            raise DefinitionError("no prolonged sound marks")
         self.run = re.compile(f"[{re.escape(marks)}]{{2,}}")
         self.symbol = symbol
 
+    def steady(self, text: str) -> str | None:
+        return None if self.run.search(text) else text
+
     def pieces(self, text: str):
         at = 0
         for m in self.run.finditer(text):
@@ -91,11 +110,18 @@ class MarkCollapser:
             at = m.end()
         yield from ((i, i + 1, text[i]) for i in range(at, len(text)))
 
+    def apply(self, text: str) -> str:
+        return self.run.sub(lambda _: self.symbol, text)
+
 
 def rewrite(text: str, rewriters: list) -> tuple[str, list[int]]:
     """Modified text, and the original index of each of its characters and of its end."""
     offsets = list(range(len(text) + 1))
     for r in rewriters:
+        plain = r.steady(text)
+        if plain is not None:
+            text = plain
+            continue
         out, now = [], []
         for start, _, new in r.pieces(text):
             out.append(new)
@@ -104,6 +130,13 @@ def rewrite(text: str, rewriters: list) -> tuple[str, list[int]]:
     return text, offsets
 
 
+def rewrite_text(text: str, rewriters: list) -> str:
+    """The modified text alone."""
+    for r in rewriters:
+        text = r.apply(text)
+    return text
+
+
 def replaced(text: str, offsets: list[int], begin: int, end: int, new: str) -> tuple[str, list[int]]:
     """One replacement in a rewriting buffer: the new characters all come from where the range began."""
     if begin > len(text):
@@ -132,6 +165,35 @@ def normalized(df: DataFrame, text_col: str = "text", out_col: str = "norm", cha
     return df.withColumn(out_col, run(F.col(text_col)))
 
 
+def _plain() -> tuple[str, str, str]:
+    """A pattern of what isn't plain, and the plain characters that change beyond their case, with what they become.
+
+    Plain are characters of Latin script and its punctuation that become one other character or stay.
+    """
+    one = DefaultRewriter().one
+    candidates = [c for a, b in ((0, 0x130), (0x131, 0x180), (0x2010, 0x203B), (0x20A0, 0x20C1)) for c in map(chr, range(a, b))]
+    plain = [c for c in candidates if len(one(c)) == 1]
+    changed = [c for c in plain if one(c) != c.lower()]
+    pattern = "[^" + "".join(f"\\x{{{ord(c):X}}}" for c in plain) + "]"
+    return pattern, "".join(changed), "".join(map(one, changed))
+
+
+def modified(df: DataFrame, text_col: str = "text", out_col: str = "modified") -> DataFrame:
+    """Add the text as the default chain rewrites it, without offsets: built-in functions for plain texts; only those
+    that hold another character go to a worker."""
+    pattern, old, new = _plain()
+    chain = default_chain()
+
+    @F.pandas_udf("string")
+    def run(texts):
+        return texts.map(lambda t: rewrite_text(t, chain), na_action="ignore")
+
+    text = F.col(text_col)
+    # a branch doesn't keep a Python function from running, an empty input does
+    sent = df.withColumn("__other", F.when(text.rlike(pattern), text)).withColumn("__done", run("__other"))
+    return sent.withColumn(out_col, F.coalesce("__done", collapsed(F.translate(F.lower(text), old.lower(), new)))).drop("__other", "__done")
+
+
 def collapsed(text: Column, marks: str = "ー-⁓〜〰", symbol: str = "ー") -> Column:
     """Mark collapse as a built-in expression, where no offsets are needed."""
     return F.regexp_replace(text, f"[{re.escape(marks)}]{{2,}}", symbol)

@@ -13,24 +13,28 @@ A null or empty text has no rows. A text whose end can't be reached (all edges i
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morphlake.functions.categories import DEFAULT_RANGES, MASK, RUN_SCRIPTS, Categories
-from morphlake.functions.normalize import default_chain, rewrite
-from morphlake.operators.chars import runs_of
-from morphlake.operators.lexicon import INHIBITED, MAX_DICTIONARIES, USER_SHIFT, prefix_lookup
+from morphlake.functions.categories import DEFAULT_RANGES, MASK, Categories
+from morphlake.functions.normalize import default_chain, rewrite, rewrite_text
+from morphlake.operators.chars import candidate_lengths, runs_of, word_starts
+from morphlake.operators.lexicon import INHIBITED, MAX_DICTIONARIES, USER_SHIFT, packed, prefix_lookup
 from morphlake.operators.oov import SimpleOov
 
-#: A lexicon is broadcast up to so many rows (about 400 bytes each in a worker).
+#: A lexicon is broadcast up to so many rows (about 400 bytes each in a worker) and bytes of its texts.
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 512 << 20
+#: Connection costs take two bytes a cell, of as many cells as the greatest ids make.
+MATRIX_BYTES = 1 << 30
 
 MORPHEME = (
-    "idx int, begin int, end int, surface string, pos array<string>, normalized_form string, dictionary_form string, reading_form string, "
+    "idx int, begin int, end int, surface string, pos array<string>, pos_id int, normalized_form string, dictionary_form string, reading_form string, "
     "word_id long, dictionary_id int, is_oov boolean, cost int"
 )
 
@@ -41,7 +45,7 @@ class NoMorpheme(ValueError):
 
 @dataclass(frozen=True)
 class Word:
-    """A lexicon row as a worker sees it."""
+    """A lexicon row as a worker sees it. ``units``: the words themselves that it splits into, where they come with it."""
 
     dict_id: int
     word_id: int
@@ -56,6 +60,7 @@ class Word:
     reading_form: str
     a_unit_split: tuple = ()
     b_unit_split: tuple = ()
+    units: tuple = ()
 
     @property
     def packed(self) -> int:
@@ -76,35 +81,51 @@ class Node:
     word: Word | None = None
     pos: tuple | None = None
     total: int | None = None  # None: no predecessor
-    before: Node | None = None
 
 
 class View:
     """What candidates need to know about a (rewritten) text."""
 
     def __init__(self, text: str, categories: Categories):
+        mask = categories.masks(text)
+        can_bow = word_starts(mask)
         self.text = text
-        self.mask = categories.masks(text)
-        self.run_length = runs_of(self.mask)
-        m = self.mask
-        self.can_bow = [i == 0 or not (m[i] & RUN_SCRIPTS and m[i] & m[i - 1]) for i in range(len(m))]
-        self.candidate_length = [0] * len(m)
-        end = len(m)
-        for i in range(len(m) - 1, -1, -1):
-            self.candidate_length[i] = end - i
-            if self.can_bow[i]:
-                end = i
+        self.mask = mask.tolist()
+        self.can_bow = can_bow.tolist()
+        self.run_length = runs_of(mask).tolist()
+        self.candidate_length = candidate_lengths(can_bow).tolist()
+
+
+class Connection:
+    """Connection costs as a table of 16-bit numbers by (left, right); absent is 0."""
+
+    def __init__(self, left=(), right=(), cost=()):
+        left, right, cost = (np.asarray(x, np.int64) for x in (left, right, cost))
+        shape = (int(left.max(initial=-1)) + 1, int(right.max(initial=-1)) + 1)
+        if 2 * shape[0] * shape[1] > MATRIX_BYTES:
+            raise ValueError(f"a connection table of {shape[0]} x {shape[1]} takes more than {MATRIX_BYTES} bytes")
+        self.table = np.zeros(shape, np.int16)
+        self.table[left, right] = cost
+
+    def get(self, pair: tuple[int, int], default: int = 0) -> int:
+        left, right = pair
+        return int(self.table[left, right]) if 0 <= left < self.table.shape[0] and 0 <= right < self.table.shape[1] else default
 
 
 @dataclass
 class Dictionary:
-    """Words, connection costs (absent: 0) and the configured text rewriters and providers."""
+    """Words, connection costs (absent: 0), the configured text rewriters and providers, and parts of speech by id."""
 
     words: list[Word] = field(default_factory=list)
-    connection: dict[tuple[int, int], int] = field(default_factory=dict)
+    connection: dict[tuple[int, int], int] | Connection = field(default_factory=dict)
     ranges: list = field(default_factory=lambda: DEFAULT_RANGES)
     rewriters: list = field(default_factory=default_chain)
     providers: list = field(default_factory=lambda: [SimpleOov()])
+    parts: list[tuple] = field(default_factory=list)
+
+    def with_words(self, words: list[Word], parts: list[tuple]) -> Dictionary:
+        """With another dictionary's words and parts of speech; the caches are made anew."""
+        return replace(self, words=[*self.words, *words], parts=[*self.parts, *parts])
 
     @cached_property
     def categories(self) -> Categories:
@@ -129,66 +150,108 @@ class Dictionary:
     def by_id(self) -> dict[int, Word]:
         return {w.packed: w for w in self.words}
 
+    @cached_property
+    def pos_ids(self) -> dict[tuple, int]:
+        """The first id of each part of speech."""
+        known = self.parts or list(dict.fromkeys(w.pos for w in sorted(self.words, key=lambda w: w.packed)))
+        out: dict[tuple, int] = {}
+        for i, pos in enumerate(known):
+            out.setdefault(tuple(pos), i)
+        return out
+
+    @cached_property
+    def edges(self) -> dict[tuple[int, int], int]:
+        """Connection costs looked up so far."""
+        return {}
+
     def lookup(self, text: str, at: int) -> list[tuple[int, Word]]:
         """(end, word) of every word that begins here, in insertion order."""
-        found = [(at + n, w) for n in self.lengths.get(text[at], ()) for w in self.index.get(text[at : at + n], ()) if at + n <= len(text)]
-        return sorted(found, key=lambda x: (x[1].priority, x[0], x[1].word_id))
+        lengths = self.lengths.get(text[at])
+        if not lengths:
+            return []
+        index, last = self.index, len(text) - at
+        found = [(at + n, w) for n in lengths if n <= last for w in index.get(text[at : at + n], ())]
+        return sorted(found, key=lambda x: (x[1].priority, x[0], x[1].word_id)) if len(found) > 1 else found
 
-    def connect(self, left: Node, right_left_id: int) -> int:
-        return self.connection.get((left.right_id, right_left_id), 0)
+    def units(self, word: Word, mode: str) -> list[Word]:
+        """Words of mode A or B, if there are several."""
+        if word.units:
+            return list(word.units)
+        ids = word.a_unit_split if mode == "A" else word.b_unit_split
+        return [self.by_id[u] for u in ids] if len(ids) > 1 else []
 
 
 def solve(text: str, d: Dictionary, lookup=None, log: list | None = None) -> list[Node]:
-    """Best path of one rewritten text. ``log`` gets all nodes in insertion order (the lattice dump)."""
+    """Best path of one rewritten text. ``log`` gets all nodes in insertion order (the lattice dump).
+
+    Nodes are numbers into parallel lists. Candidates at one position with the same left id have the same best
+    predecessor, which is looked for once.
+    """
     view = View(text, d.categories)
     n = len(text)
     lookup = lookup or d.lookup
-    ends: list[list[Node]] = [[] for _ in range(n + 1)]
-    ends[0].append(Node(0, 0, 0, 0, 0, total=0))
-
-    def insert(node: Node) -> None:
-        for left in ends[node.begin]:
-            if left.total is None:
-                continue
-            edge = d.connect(left, node.left_id)
-            if edge != INHIBITED and (node.total is None or left.total + edge < node.total):
-                node.total, node.before = left.total + edge, left
-        if node.total is not None:
-            node.total += node.cost
-        ends[node.end].append(node)
-        if log is not None:
-            log.append(node)
+    edges, connection = d.edges, d.connection
+    nodes: list[tuple] = []  # begin, end, left id, right id, cost, word, pos, total, predecessor
+    ends: list[list | None] = [None] * (n + 1)  # connected nodes that end here: (total, right id, number); None: no node at all
+    ends[0] = [(0, 0, -1)]
+    mask, can_bow = view.mask, view.can_bow
+    barred = MASK["NOOOVBOW"]
+
+    def best(before: list, left_id: int) -> tuple:
+        least, at = None, -1
+        for total, right_id, number in before:
+            edge = edges.get((right_id, left_id))
+            if edge is None:
+                edge = edges[right_id, left_id] = connection.get((right_id, left_id), 0)
+            if edge != INHIBITED and (least is None or total + edge < least):
+                least, at = total + edge, number
+        return least, at
 
     for i in range(n):
-        if not ends[i] or not view.can_bow[i]:
+        before = ends[i]
+        if before is None or not can_bow[i]:
             continue
+        known: dict[int, tuple] = {}
+
+        def insert(end: int, left_id: int, right_id: int, cost: int, word, pos, i=i, before=before, known=known) -> None:
+            got = known.get(left_id)
+            if got is None:
+                got = known[left_id] = best(before, left_id)
+            total = None if got[0] is None else got[0] + cost
+            own = ends[end]
+            if own is None:
+                own = ends[end] = []
+            if total is not None:
+                own.append((total, right_id, len(nodes)))
+            nodes.append((i, end, left_id, right_id, cost, word, pos, total, got[1]))
+
         some = False
         for end, w in lookup(text, i):
-            if end < n and not view.can_bow[end]:
+            if end < n and not can_bow[end]:
                 continue
-            insert(Node(i, end, w.left_id, w.right_id, w.cost, w, w.pos))
+            insert(end, w.left_id, w.right_id, w.cost, w, w.pos)
             some = True
-        if not view.mask[i] & MASK["NOOOVBOW"]:
+        if not mask[i] & barred:
             for p in d.providers:
                 for length, left, right, cost, pos in p.candidates(i, some, view):
-                    insert(Node(i, i + length, left, right, cost, None, pos))
+                    insert(i + length, left, right, cost, None, pos)
                     some = True
         if not some and d.providers:
             for length, left, right, cost, pos in d.providers[-1].candidates(i, False, view):
-                insert(Node(i, i + length, left, right, cost, None, pos))
+                insert(i + length, left, right, cost, None, pos)
                 some = True
         if not some:
             raise NoMorpheme(f"there is no morpheme at {i}")
-    last = Node(n, n, 0, 0, 0)
-    insert(last)
+    at = best(ends[n] or [], 0)[1] if n else -1
+    path: list[int] = []
+    while at >= 0:
+        path.append(at)
+        at = nodes[at][8]
     if log is not None:
-        log.pop()
-    out: list[Node] = []
-    node = last.before
-    while node is not None and node.before is not None:
-        out.append(node)
-        node = node.before
-    return out[::-1]
+        made = [Node(*x[:8]) for x in nodes]
+        log += made
+        return [made[k] for k in path[::-1]]
+    return [Node(*nodes[k][:8]) for k in path[::-1]]
 
 
 def split(path: list[Node], d: Dictionary, mode: str) -> list[Node]:
@@ -197,14 +260,13 @@ def split(path: list[Node], d: Dictionary, mode: str) -> list[Node]:
         return path
     out: list[Node] = []
     for node in path:
-        units = () if node.word is None else node.word.a_unit_split if mode == "A" else node.word.b_unit_split
-        if len(units) < 2:
+        units = [] if node.word is None else d.units(node.word, mode)
+        if not units:
             out.append(node)
             continue
         at = node.begin
-        for u in units:
-            w = d.by_id[u]
-            end = at + len(w.headword or w.surface)
+        for w in units:
+            end = min(at + len(w.headword or w.surface), node.end)  # units don't reach beyond their word
             out.append(Node(at, end, 0, 0, 0, w, w.pos))
             at = end
     return out
@@ -220,25 +282,30 @@ def morphemes(text: str | None, d: Dictionary, mode: str = "C", lookup=None) ->
         a, b = offsets[node.begin], offsets[node.end]
         w, seen = node.word, modified[node.begin : node.end]
         fields = (seen, seen, "") if w is None else (w.normalized_form, w.dictionary_form, w.reading_form)
-        out.append((i, a, b, text[a:b], list(node.pos) if node.pos else None, *fields, 0 if w is None else w.packed, None if w is None else w.dict_id, w is None, node.cost))
+        pos = list(node.pos) if node.pos else None
+        out.append((i, a, b, text[a:b], pos, pos and d.pos_ids.get(tuple(pos)), *fields, 0 if w is None else w.packed, None if w is None else w.dict_id, w is None, node.cost))
     return out
 
 
-_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()]
+_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()]
 _NAMES = [x.split()[0] for x in MORPHEME.split(", ")]
 
 
 def _batch(key: pa.Array, key_name: str, per_row: list[list[tuple]]) -> pa.RecordBatch:
-    at = pa.array([i for i, rows in enumerate(per_row) for _ in rows], pa.int32())
+    at = pa.array(np.repeat(np.arange(len(per_row)), [len(rows) for rows in per_row]))
     columns = [pa.array([r[j] for rows in per_row for r in rows], t) for j, t in enumerate(_TYPES)]
     return pa.RecordBatch.from_arrays([key.take(at), *columns], [key_name, *_NAMES])
 
 
-def tokenized(df: DataFrame, dictionary: Dictionary, id_col: str, text_col: str = "text", mode: str = "C", errors: str = "raise") -> DataFrame:
-    """(id, MORPHEME...) of every text, in one narrow pass. ``errors``: "raise", or "skip" texts without a morpheme."""
+def _shared(df: DataFrame, dictionary: Dictionary):
     if len(dictionary.words) > BROADCAST_ROWS:
         raise ValueError(f"the lexicon has over {BROADCAST_ROWS} rows: use tokenized_by_join")
-    shared = df.sparkSession.sparkContext.broadcast(dictionary)
+    return df.sparkSession.sparkContext.broadcast(dictionary)
+
+
+def tokenized(df: DataFrame, dictionary: Dictionary, id_col: str, text_col: str = "text", mode: str = "C", errors: str = "raise") -> DataFrame:
+    """(id, MORPHEME...) of every text, in one narrow pass. ``errors``: "raise", or "skip" texts without a morpheme."""
+    shared = _shared(df, dictionary)
 
     def run(batches):
         d = shared.value
@@ -260,12 +327,52 @@ def _guarded(text, d: Dictionary, mode: str, errors: str, lookup=None) -> list[t
         return []
 
 
+def line_of(m: tuple, print_all: bool) -> str:
+    """The tab-separated line of a morpheme (a row of MORPHEME)."""
+    _, _, _, surface, pos, _, normalized, dictionary, reading, _, dictionary_id, is_oov, _ = m
+    cells = [surface, ",".join(pos or ()), normalized]
+    if print_all:
+        cells += [dictionary, reading, str(-1 if dictionary_id is None else dictionary_id), *(["(OOV)"] if is_oov else [])]
+    return "\t".join(cells)
+
+
+def printed_texts(df: DataFrame, dictionary: Dictionary, text_col: str = "text", mode: str = "C", print_all: bool = False, errors: str = "raise") -> DataFrame:
+    """Output lines (value) of the texts in their order, EOS after each: one narrow pass, for batches and streams."""
+    shared = _shared(df, dictionary)
+
+    def run(batches):
+        d = shared.value
+        for batch in batches:
+            out: list[str] = []
+            for text in batch.column(0).to_pylist():
+                out += [line_of(m, print_all) for m in _guarded(text, d, mode, errors)]
+                out.append("EOS")
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+    return df.select(F.col(text_col).alias("__text")).mapInArrow(run, "value string")
+
+
 #: Columns of a lexicon table that a candidate carries.
 CARRIED = ["dict_id", "word_id", "headword", "left_id", "right_id", "cost", "surface", "pos", "normalized_form", "dictionary_form", "reading_form"]
 
 
-def tokenized_by_join(df: DataFrame, lexicon: DataFrame, dictionary: Dictionary, id_col: str, text_col: str = "text") -> DataFrame:
-    """Mode C with a lexicon of any size. ``lexicon`` has the columns CARRIED; ``dictionary`` all but the words.
+def with_units(lexicon: DataFrame, mode: str) -> DataFrame:
+    """Add ``units``: the words that a word splits into in this mode (empty: it stays whole). Joins of the lexicon with
+    itself, before any text is seen."""
+    column = {"A": "a_unit_split", "B": "b_unit_split"}.get(mode)
+    none = F.array().cast(f"array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in lexicon.select(*CARRIED).schema)}>>")
+    if not column:
+        return lexicon.withColumn("units", none)
+    refs = lexicon.filter(F.size(column) > 1).select(F.col("dict_id").alias("of_dict"), F.col("word_id").alias("of_word"), F.posexplode(column).alias("ord", "unit"))
+    words = lexicon.select(packed(F.col("dict_id"), F.col("word_id")).alias("packed"), F.struct(*CARRIED).alias("w"))
+    found = refs.join(words, F.col("unit").cast("long") == F.col("packed")).groupBy("of_dict", "of_word").agg(F.array_sort(F.collect_list(F.struct("ord", "w"))).alias("found"))
+    on = (F.col("dict_id") == F.col("of_dict")) & (F.col("word_id") == F.col("of_word"))
+    return lexicon.join(found, on, "left").withColumn("units", F.coalesce(F.transform("found", lambda x: x["w"]), none)).drop("of_dict", "of_word", "found")
+
+
+def tokenized_by_join(df: DataFrame, lexicon: DataFrame, dictionary: Dictionary, id_col: str, text_col: str = "text", mode: str = "C", errors: str = "raise") -> DataFrame:
+    """``tokenized`` with a lexicon of any size. ``lexicon`` has the columns CARRIED (and, for modes A and B, the unit
+    splits); ``dictionary`` all but the words.
 
     ``id_col`` names the texts: repeated ids would share their candidates, so it must be a key.
     """
@@ -275,13 +382,18 @@ def tokenized_by_join(df: DataFrame, lexicon: DataFrame, dictionary: Dictionary,
     @F.pandas_udf("string")
     def modified(texts):
         d = shared.value
-        return texts.map(lambda t: rewrite(t, d.rewriters)[0], na_action="ignore")
+        return texts.map(lambda t: rewrite_text(t, d.rewriters), na_action="ignore")
 
     base = df.select(id_col, F.col(text_col).alias("__text"), modified(F.col(text_col)).alias("__modified"))
-    found = prefix_lookup(base, id_col, "__modified", lexicon.select(*CARRIED))
-    found = found.groupBy(id_col).agg(F.collect_list(F.struct("begin", "end", *CARRIED)).alias("__found"))
+    carried = [*CARRIED, "units"]
+    found = prefix_lookup(base, id_col, "__modified", with_units(lexicon, mode).select(*carried))
+    found = found.groupBy(id_col).agg(F.collect_list(F.struct("begin", "end", *carried)).alias("__found"))
     both = base.select(id_col, "__text").join(found, id_col, "left")
 
+    def word(c: dict) -> Word:
+        plain = {k: tuple(c[k] or ()) if k == "pos" else c[k] for k in CARRIED}
+        return Word(**plain, units=tuple(word(u) for u in c.get("units") or ()))
+
     def run(batches):
         d = shared.value
         for batch in batches:
@@ -289,11 +401,10 @@ def tokenized_by_join(df: DataFrame, lexicon: DataFrame, dictionary: Dictionary,
             for text, cands in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 at: dict[int, list] = {}
                 for c in cands or ():
-                    w = Word(**{k: tuple(c[k] or ()) if k == "pos" else c[k] for k in CARRIED})
-                    at.setdefault(c["begin"], []).append((c["end"], w))
+                    at.setdefault(c["begin"], []).append((c["end"], word(c)))
                 for own in at.values():
                     own.sort(key=lambda x: (x[1].priority, x[0], x[1].word_id))
-                per_row.append(morphemes(text, d, "C", lambda _, i, at=at: at.get(i, [])))
+                per_row.append(_guarded(text, d, mode, errors, lambda _, i, at=at: at.get(i, [])))
             yield _batch(batch.column(0), id_col, per_row)
 
     return both.select(id_col, "__text", "__found").mapInArrow(run, f"{id_col} {kind}, {MORPHEME}")
@@ -301,7 +412,7 @@ def tokenized_by_join(df: DataFrame, lexicon: DataFrame, dictionary: Dictionary,
 
 def lattice_dump(df: DataFrame, dictionary: Dictionary, id_col: str, text_col: str = "text") -> DataFrame:
     """Every node of every lattice: (id, seq, begin, end, left_id, right_id, cost, total, is_oov, on_path)."""
-    shared = df.sparkSession.sparkContext.broadcast(dictionary)
+    shared = _shared(df, dictionary)
     names = ["seq", "begin", "end", "left_id", "right_id", "cost", "total", "is_oov", "on_path"]
     types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()]
 
@@ -311,7 +422,7 @@ def lattice_dump(df: DataFrame, dictionary: Dictionary, id_col: str, text_col: s
             at, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 log: list[Node] = []
-                best = {id(x) for x in (solve(rewrite(text, d.rewriters)[0], d, log=log) if text else [])}
+                best = {id(x) for x in (solve(rewrite_text(text, d.rewriters), d, log=log) if text else [])}
                 rows += [(s, x.begin, x.end, x.left_id, x.right_id, x.cost, x.total, x.word is None, id(x) in best) for s, x in enumerate(log)]
                 at += [i] * len(log)
             columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]

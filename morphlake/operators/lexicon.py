@@ -72,12 +72,8 @@ def packed(dict_id: Column, word_id: Column) -> Column:
     return F.shiftleft(dict_id.cast("long"), USER_SHIFT) + word_id
 
 
-def unpacked(word: Column) -> tuple[Column, Column]:
-    return F.shiftright(word, USER_SHIFT).cast("int"), word.bitwiseAND((1 << USER_SHIFT) - 1).cast("int")
-
-
 def rebased_split(ids: Column, dict_id: Column) -> Column:
-    """Split ids of a user dictionary: packed ones belong to the dictionary at hand, plain ones to the system's."""
+    """Split ids of a user dictionary, as longs: packed ones belong to the dictionary at hand, plain ones to the system's."""
     base = F.shiftleft(dict_id.cast("long"), USER_SHIFT)
     low = (1 << USER_SHIFT) - 1
     return F.transform(ids, lambda x: F.when(x.cast("long") > low, base + x.cast("long").bitwiseAND(low)).otherwise(x.cast("long")))
@@ -93,16 +89,41 @@ def united(*lexicons: DataFrame) -> DataFrame:
     return out.withColumn("priority", F.when(F.col("dict_id") == 0, MAX_DICTIONARIES).otherwise(F.col("dict_id")))
 
 
-def prefix_lookup(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, starts: Column | None = None) -> DataFrame:
+def longest(keys: DataFrame, column: str) -> DataFrame:
+    """(first, most): the greatest length of the keys that begin with each character."""
+    return keys.groupBy(F.substring(column, 1, 1).alias("first")).agg(F.max(F.length(column)).alias("most"))
+
+
+#: Characters of the windows that are cut from a text at every position; longer headwords are compared with it afterwards.
+WINDOW = 32
+
+
+def windows(text: Column, width: int = WINDOW) -> Column:
+    """Array of (begin, the next ``width`` characters) for every position: the characters are cut once, and each window is
+    joined from its own, so the work grows with the text alone."""
+    cut = lambda cs: F.transform(F.sequence(F.lit(0), F.size(cs) - 1), lambda i: F.struct(i.alias("begin"), F.array_join(F.slice(cs, i + 1, width), "").alias("w")))
+    return F.transform(F.array(F.filter(F.split(text, "", -1), lambda c: c != "")), cut)[0]
+
+
+def prefix_lookup(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
     """Common-prefix search as an equi-join: every start and every length that some headword with this first character
     has, against the headword. Returns (id, begin, end, headword and the lexicon's columns).
 
-    Lengths are bounded per first character, from the lexicon, before anything is exploded.
+    Lengths are bounded per first character, from the lexicon, before anything is exploded. Headwords beyond WINDOW
+    characters meet on their first WINDOW; the few matches are then compared with the text.
     """
     lex = lexicon.filter("headword IS NOT NULL")
-    lengths = lex.groupBy(F.substring("headword", 1, 1).alias("first")).agg(F.sort_array(F.collect_set(F.length("headword"))).alias("lens"))
-    chars = texts.filter(F.length(text_col) > 0).select(id_col, F.col(text_col).alias("__t"), F.posexplode(F.filter(F.split(text_col, "", -1), lambda c: c != "")).alias("begin", "first"))
-    probes = chars.join(F.broadcast(lengths), "first").withColumn("n", F.explode("lens"))  # one row per first character
-    probes = probes.filter(F.col("begin") + F.col("n") <= F.length("__t")).withColumn("headword", F.expr("substring(__t, begin + 1, n)"))
-    probes = probes.select(id_col, "begin", (F.col("begin") + F.col("n")).alias("end"), "headword")
-    return probes.join(lex, "headword")
+    short = F.least(F.length("headword"), F.lit(WINDOW))
+    lengths = lex.groupBy(F.substring("headword", 1, 1).alias("first")).agg(F.sort_array(F.collect_set(short)).alias("lens"))
+    starts = texts.filter(F.length(text_col) > 0).select(id_col, F.inline(windows(F.col(text_col)))).withColumn("first", F.substring("w", 1, 1))
+    probes = starts.join(F.broadcast(lengths), "first").withColumn("n", F.explode("lens"))  # one row per first character
+    probes = probes.filter(F.col("n") <= F.length("w")).select(id_col, "begin", "n", F.expr("substring(w, 1, n)").alias("probe"))
+    met = probes.join(lex.withColumn("probe", F.substring("headword", 1, WINDOW)), "probe").withColumn("end", F.col("begin") + F.length("headword"))
+    plain = met.filter(F.length("headword") == F.col("n"))
+    longer = met.filter(F.length("headword") > F.col("n")).filter(F.col("n") == WINDOW)
+    text = texts.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
+    longer = longer.join(text, F.col(id_col) == F.col("__id")).filter(F.expr("substring(__t, begin + 1, length(headword)) = headword"))
+    columns = ["headword", id_col, "begin", "end", *[c for c in lexicon.columns if c != "headword"]]
+    if not lex.agg(F.coalesce(F.max(F.length("headword")), F.lit(0))).first()[0] > WINDOW:
+        return plain.select(*columns)
+    return plain.select(*columns).union(longer.select(*columns))

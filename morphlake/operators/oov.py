@@ -11,9 +11,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from morphlake.functions.categories import DEFAULT_PROPERTIES, DEFAULT_RANGES, MASK, NAMES, RUN_SCRIPTS
+from morphlake.functions.categories import DEFAULT_PROPERTIES, DEFAULT_RANGES, NAMES, RUN_SCRIPTS
 
-NOUN = (*"名詞 普通名詞 一般".split(), *"***")
+NOUN = ("名詞", "普通名詞", "一般", "*", "*", "*")
 
 
 @dataclass(frozen=True)
@@ -84,5 +84,3 @@ def grouped_candidates(chars: DataFrame, id_col: str, properties: DataFrame, tem
     spans = per.withColumn("n", F.explode(F.concat(whole, shorter))).select(id_col, F.col("pos").alias("begin"), "category", F.col("n").alias("n_chars"))
     return spans.join(F.broadcast(templates.withColumnRenamed("mask", "category")), "category")
 
-
-MASKS_OF = {n: MASK[n] for n in DEFAULT_PROPERTIES}

@@ -9,11 +9,16 @@ from morphlake.operators.lattice import MORPHEME, Dictionary, morphemes
 
 
 def register(spark: SparkSession, dictionary: Dictionary, name: str = "tokenize") -> None:
-    """Register the table function for a dictionary."""
+    """Register the table function for a dictionary, which is broadcast. A lateral call passes row by row; for whole
+    tables ``lattice.tokenized`` passes batches."""
+    shared = spark.sparkContext.broadcast(dictionary)
 
     @udtf(returnType=MORPHEME)
     class Tokenize:
+        def __init__(self):
+            self.dictionary = shared.value
+
         def eval(self, text: str, mode: str):
-            yield from morphemes(text, dictionary, mode)
+            yield from morphemes(text, self.dictionary, mode)
 
     spark.udtf.register(name, Tokenize)

@@ -2,44 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphlake.functions.categories import DEFAULT_RANGES, MASK, RUN_SCRIPTS, compile_ranges, compiled, names_of, ranges_table, values_sql
-from morphlake.functions.normalize import collapsed, normalized
+from morphlake.functions.categories import DEFAULT_RANGES, MASK, RUN_SCRIPTS, code_point, compile_ranges, compiled, names_of, ranges_table, values_sql
+from morphlake.functions.normalize import collapsed, modified, normalized
 from morphlake.operators import chars as C
 from morphlake.operators import lattice as L
 from morphlake.operators import lexicon as X
 from morphlake.operators.oov import grouped_candidates, simple_tokens
 from morphlake.plans import demo
+from morphlake.plans.catalog import ORACLES, QUERIES, query
+from morphlake.sources.shared import folder
 from morphlake.streaming.tokenize import stream, to_parquet
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def name_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.classified(C.exploded(demo.names(spark, sf_dir), "p_partkey", "p_name"))
+def name_profile(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return C.profiled(demo.names(spark, sf_dir), "p_partkey", "p_name", columns)
 
 
 # SQL over the part names: (p_partkey, pos, ch, mask)
-R = values_sql()
+R = values_sql()  # of what any character may be; ``char_category_scripts`` holds the table against values that are typed in
 NAME_CHARS = f"""x AS (SELECT p_partkey, CAST(unnest(range(length(p_name))) AS INTEGER) AS pos, unnest(string_split(p_name, '')) AS ch FROM part WHERE length(p_name) > 0),
 m AS (SELECT x.*, coalesce(r.mask, 1) AS mask FROM x LEFT JOIN {R} ON unicode(x.ch) >= r.low AND unicode(x.ch) < r.high)"""
 STARTS = f"""{NAME_CHARS}, s AS (SELECT *, coalesce(NOT ((mask & {RUN_SCRIPTS}) <> 0 AND (mask & lag(mask) OVER w) <> 0), true) AS can_bow FROM m WINDOW w AS (PARTITION BY p_partkey ORDER BY pos))"""
@@ -57,8 +43,7 @@ def char_counts(spark, sf_dir):
 
 @query(f"WITH {NAME_CHARS} SELECT p_partkey, pos, ch, CAST(coalesce(sum(strlen(ch)) OVER (PARTITION BY p_partkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_pos FROM x")
 def byte_lengths(spark, sf_dir):
-    c = C.exploded(demo.names(spark, sf_dir), "p_partkey", "p_name").drop("cp")
-    return C.byte_offsets(c, "p_partkey")
+    return name_profile(spark, sf_dir, "byte_pos").select("p_partkey", "pos", "ch", F.col("byte_pos").cast("long").alias("byte_pos"))
 
 
 @query(f"WITH {NAME_CHARS} SELECT p_partkey, pos, ch, mask FROM m")
@@ -74,9 +59,9 @@ b AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {b})" for n, b in MASK.items())
 SELECT category, CAST(sum(n) AS BIGINT) AS n FROM m JOIN b ON (mask & bit) <> 0 GROUP BY category"""
 )
 def category_histogram(spark, sf_dir):
-    """Characters are counted per code point first, so categories are looked up once for each."""
-    counts = C.exploded(documents(spark, sf_dir), "doc_id").groupBy("cp").agg(F.count("*").alias("n"))
-    named = C.classified(counts).select(F.explode(F.split(names_of(F.col("mask")), r"\|")).alias("category"), "n")
+    """Characters are counted first, so code points and categories are looked up once for each."""
+    counts = documents(spark, sf_dir).select(F.explode(F.split("text", "", -1)).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    named = C.classified(counts.withColumn("cp", code_point(F.col("ch")))).select(F.explode(F.split(names_of(F.col("mask")), r"\|")).alias("category"), "n")
     return named.groupBy("category").agg(F.sum("n").alias("n"))
 
 
@@ -95,7 +80,7 @@ def category_compile(spark, sf_dir):
 
 @query(f"WITH {STARTS} SELECT p_partkey, pos, can_bow FROM s")
 def word_start_flags(spark, sf_dir):
-    return C.word_starts(name_chars(spark, sf_dir), "p_partkey").select("p_partkey", "pos", "can_bow")
+    return name_profile(spark, sf_dir, "can_bow").drop("ch")
 
 
 @query(
@@ -103,7 +88,7 @@ def word_start_flags(spark, sf_dir):
 max(pos) OVER (PARTITION BY p_partkey) + 1) - pos AS INTEGER) AS candidate_length FROM s"""
 )
 def candidate_length(spark, sf_dir):
-    return C.candidate_lengths(C.word_starts(name_chars(spark, sf_dir), "p_partkey"), "p_partkey").select("p_partkey", "pos", "candidate_length")
+    return name_profile(spark, sf_dir, "candidate_length").drop("ch")
 
 
 @query(
@@ -113,7 +98,7 @@ SELECT p_partkey, pos, CAST(max(pos) OVER (PARTITION BY p_partkey, run) - pos +
 )
 def category_runs(spark, sf_dir):
     """One category per character in these texts, so the SQL may compare neighbours."""
-    return C.run_lengths(demo.names(spark, sf_dir), "p_partkey", "p_name")
+    return name_profile(spark, sf_dir, "run_length").drop("ch")
 
 
 _PLAIN = "[A-Za-zÀ-ÖØ-öø-ȶḀ-ỹＡ-Ｚａ-ｚ]+|[ʹ-ϻ]+|[Ѐ-ӹԀ-ԏ]+|(?s:.)"
@@ -138,7 +123,7 @@ _COLLAPSE = "[ー\\-⁓〜〰]{2,}"
 
 @query(f"SELECT doc_id, regexp_replace(nfkc, '{_COLLAPSE}', 'ー', 'g') AS normalized FROM (SELECT doc_id, translate(lower(text), chr(160), ' ') AS nfkc FROM documents)")
 def normalize_text(spark, sf_dir):
-    return normalized(documents(spark, sf_dir)).select("doc_id", F.col("norm.modified").alias("normalized"))
+    return modified(documents(spark, sf_dir), "text", "normalized").select("doc_id", "normalized")
 
 
 @query(
@@ -236,7 +221,7 @@ SELECT s.p_partkey, begin, category, CAST(n_chars AS INTEGER) AS n_chars, ord, l
 )
 def grouped_oov_candidates(spark, sf_dir):
     """Grouped candidates where every third position counts as having words."""
-    c = name_chars(spark, sf_dir).join(C.run_lengths(demo.names(spark, sf_dir), "p_partkey", "p_name"), ["p_partkey", "pos"]).withColumn("has_words", F.col("pos") % 3 == 0)
+    c = name_profile(spark, sf_dir, "mask", "run_length").withColumn("has_words", F.col("pos") % 3 == 0)
     props = spark.createDataFrame(_PROPS, "mask int, invoke boolean, grp boolean, length int")
     templates = spark.createDataFrame(_TEMPLATES, "mask int, ord int, left_id int, right_id int, cost int, pos_id int")
     return grouped_candidates(c, "p_partkey", props, templates)
@@ -272,10 +257,13 @@ def best_path_cost(spark, sf_dir):
     return last.join(F.broadcast(end), "left").select("p_partkey", (F.col("t") + F.col("cost")).alias("total"))
 
 
-@query(f'{_named()} SELECT id AS p_partkey, CAST(seq AS INTEGER) AS seq, CAST(begin AS INTEGER) AS begin, CAST("end" AS INTEGER) AS "end", left_id, right_id, cost, word_id IS NULL AS is_oov FROM nodes')
+@query(
+    f"""{_named()}, reached AS (SELECT id, seqs[len(seqs)] AS seq, min(total) AS total FROM paths WHERE len(seqs) > 0 GROUP BY ALL)
+SELECT n.id AS p_partkey, CAST(n.seq AS INTEGER) AS seq, CAST(n.begin AS INTEGER) AS begin, CAST(n."end" AS INTEGER) AS "end", n.left_id, n.right_id, n.cost, CAST(r.total AS BIGINT) AS total,
+n.word_id IS NULL AS is_oov, s.seq IS NOT NULL AS on_path FROM nodes n LEFT JOIN reached r ON r.id = n.id AND r.seq = n.seq LEFT JOIN steps s ON s.id = n.id AND s.seq = n.seq"""
+)
 def lattice_dump(spark, sf_dir):
-    dump = L.lattice_dump(demo.names(spark, sf_dir), demo.dictionary(spark, sf_dir), "p_partkey", "p_name")
-    return dump.select("p_partkey", "seq", "begin", "end", "left_id", "right_id", "cost", "is_oov")
+    return L.lattice_dump(demo.names(spark, sf_dir), demo.dictionary(spark, sf_dir), "p_partkey", "p_name")
 
 
 def _split_sql(column: str) -> str:
@@ -352,11 +340,12 @@ def user_auto_cost(spark, sf_dir):
 def stream_tokenize(spark, sf_dir):
     """The table as a stream, through the same plan; all that is there, then the result."""
     source = spark.read.parquet(f"{sf_dir}/part.parquet")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    at = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    at = folder(spark, "stream")
     tokens = stream(spark, f"{sf_dir}/part.parquet*", source.schema.simpleString()[7:-1].replace(":", " "), demo.dictionary(spark, sf_dir), "p_partkey", "p_name")
     to_parquet(tokens, f"{at}/out", f"{at}/log").awaitTermination()
     return spark.read.parquet(f"{at}/out").select(*_COLUMNS)
 
 
 assert compile_ranges(DEFAULT_RANGES) == DEFAULT_RANGES
+
+from morphlake import registry_more  # noqa: E402, F401

@@ -5,12 +5,14 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.functions.categories import MASK, DefinitionError, parse_ranges
-from morphlake.functions.normalize import parse_rewrite
+from morphlake.functions.categories import DEFAULT_PROPERTIES, DEFAULT_RANGES, MASK, DefinitionError, compile_ranges, parse_ranges
+from morphlake.functions.normalize import DefaultRewriter, MarkCollapser, parse_rewrite
+from morphlake.operators.oov import GroupedOov, SimpleOov
 
 CSV_COLUMNS = [
     "headword", "left_id", "right_id", "cost", "surface", "pos1", "pos2", "pos3", "pos4", "pos5", "pos6",
@@ -19,6 +21,9 @@ CSV_COLUMNS = [
 
 
 def read_text(path: str) -> str:
+    """A small file, as definitions are; one with a scheme, or a folder of one file, is read through the session."""
+    if "://" in path or os.path.isdir(path):
+        return SparkSession.getActiveSession().read.text(path, wholetext=True).first()[0]
     with open(path, encoding="utf-8") as f:
         return f.read()
 
@@ -55,11 +60,69 @@ def parse_templates(text: str, known: dict | None = None) -> dict[str, list[tupl
     return out
 
 
+#: What is configured where the settings say nothing.
+SIMPLE = {"class": "SimpleOovProviderPlugin", "oovPOS": ["名詞", "普通名詞", "一般", "*", "*", "*"], "leftId": 8, "rightId": 8, "cost": 6000}
+DEFAULTS = {"systemDict": None, "userDict": [], "characterDefinitionFile": None, "rewriteDefinitionFile": None, "inputTextPlugin": [{"class": "DefaultInputTextPlugin"}], "oovProviderPlugin": [SIMPLE]}
+
+
 def settings(path: str | None = None) -> dict:
-    """JSON settings over the defaults."""
-    default: dict = dict.fromkeys(["systemDict", "characterDefinitionFile", "rewriteDefinitionFile", "oovPOS"]) | {"userDict": []}
-    default |= dict(zip(["cost", "leftId", "rightId"], [6000, 8, 8]))
-    return default | (json.loads(read_text(path)) if path else {})
+    """JSON settings over the defaults; ``folder`` is where relative file names in them begin."""
+    given = json.loads(read_text(path)) if path else {}
+    if not isinstance(given, dict):
+        raise DefinitionError("settings are not an object at line 0")
+    folder = "" if not path else path.rpartition("/")[0] if "://" in path else os.path.dirname(os.path.abspath(path))
+    return DEFAULTS | given | {"folder": folder}
+
+
+def beside(config: dict, name: str | None) -> str | None:
+    """A file that the settings name, relative to their folder."""
+    return name and (name if os.path.isabs(name) or "://" in name else os.path.join(config["folder"], name))
+
+
+def _class(item) -> str:
+    """Short name of a configured class: the last part of a dotted one."""
+    if not isinstance(item, dict) or not isinstance(item.get("class"), str):
+        raise DefinitionError("a plug-in without a class at line 0")
+    return item["class"].rpartition(".")[2]
+
+
+def rewriters(config: dict) -> list:
+    """The configured chain of text rewriters, in order."""
+    out = []
+    for item in config["inputTextPlugin"]:
+        name = _class(item)
+        if name == "DefaultInputTextPlugin":
+            path = beside(config, item.get("rewriteDef") or config["rewriteDefinitionFile"])
+            out.append(DefaultRewriter(*rewrite_file(path)) if path else DefaultRewriter())
+        elif name == "ProlongedSoundMarkInputTextPlugin":
+            out.append(MarkCollapser("".join(m[0] for m in item.get("prolongedSoundMarks", []) if m), item.get("replacementSymbol", "ー")))
+        else:
+            raise DefinitionError(f"{item['class']} is an unknown class of rewriters at line 0")
+    return out
+
+
+def providers(config: dict) -> list:
+    """The configured providers of unknown words, in order."""
+    out = []
+    for item in config["oovProviderPlugin"]:
+        name = _class(item)
+        if name == "SimpleOovProviderPlugin":
+            got = SIMPLE | item
+            out.append(SimpleOov(int(got["leftId"]), int(got["rightId"]), int(got["cost"]), tuple(got["oovPOS"])))
+        elif name == "MeCabOovProviderPlugin":
+            shapes, rows = beside(config, item.get("charDef")), beside(config, item.get("unkDef"))
+            properties = parse_properties(read_text(shapes)) if shapes else dict(DEFAULT_PROPERTIES)
+            out.append(GroupedOov(properties, parse_templates(read_text(rows), properties) if rows else {}))
+        else:
+            raise DefinitionError(f"{item['class']} is an unknown class of providers at line 0")
+    return out
+
+
+def parts_of(config: dict) -> dict:
+    """What the settings say about a dictionary besides its words: ranges, rewriters, providers."""
+    path = beside(config, config["characterDefinitionFile"])
+    ranges = compile_ranges(ranges_file(path)) if path else DEFAULT_RANGES
+    return {"ranges": ranges, "rewriters": rewriters(config), "providers": providers(config)}
 
 
 def lines(spark: SparkSession, paths) -> DataFrame:

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from morphlake import __main__ as cli
+from morphlake.functions.categories import DefinitionError
 from morphlake.operators import lattice as L
 from morphlake.operators.lexicon import INHIBITED
 from morphlake.plans import dictionary as etl
@@ -36,6 +37,7 @@ def test_build(spark, built):
     assert sorted(lex) == [0, 1, 2]
     assert lex[0].surface == "東京都" and lex[0].reading_form == "ヒガシキョウト" and lex[0].dictionary_form_word_id == -1
     assert lex[0].a_unit_split == [1, 2] and lex[0].b_unit_split == [] and lex[0].word_structure == [1, 2]
+    assert etl.parts_of_speech(spark, f"{built}/out") == [tuple(NOUN.split(",")), ("名詞", "普通名詞", "一般", "*", "*", "*")]
     assert lex[1].headword is None and lex[0].head_word_length == 9
     assert lex[2].normalized_form == "都" and lex[2].dictionary_form == "東京"
     assert [r.pos_id for r in spark.read.parquet(f"{built}/out/pos").orderBy("pos_id").collect()] == [0, 1]
@@ -64,6 +66,98 @@ def test_unresolved_split_fails(spark):
         etl.built(spark.createDataFrame([row(a_split="b,x,*,*,*,*,*,b")], schema))[0].collect()
 
 
+def test_numbers_of_split_references_are_checked(spark):
+    schema = ", ".join(f"{c} string" for c in D.CSV_COLUMNS) + ", row_id long"
+    rows = spark.createDataFrame([row(a_split="0/1")], schema)
+    with pytest.raises(Exception, match="invalid word id"):
+        etl.built(rows)[0].collect()
+    with pytest.raises(Exception, match="invalid word id"):
+        etl.built(spark.createDataFrame([row(a_split="U0/U1")], schema), 1)[0].collect()
+    assert etl.built(spark.createDataFrame([row(a_split="U0/7")], schema), 1)[0].first().a_unit_split == [1 << 28, 7]
+
+
+USER = f"""東京京都,0,0,-32768,東京京都,{NOUN},ヒガシキョウト,東京都,*,B,"東京,{NOUN},ヒガシ/京,{NOUN},キョウ/2",U1/U0,U1/2
+京,0,0,5,京,{NOUN},キョウ,京,*,A,*,*,*
+"""
+
+
+@pytest.fixture(scope="module")
+def user(spark, built):
+    (built / "user.csv").write_text(USER, encoding="utf-8")
+    etl.build(spark, str(built / "user.csv"), None, str(built / "user"), user=True, system=str(built / "out"))
+    return built
+
+
+def test_user_words_split_into_system_and_own_words(spark, user):
+    own = lambda d, w: d << 28 | w
+    for users, number in ((("user",), 1), (("user", "user"), 2)):
+        d = etl.load(spark, f"{user}/out", tuple(f"{user}/{u}" for u in users), rewriters=[])
+        word = d.by_id[own(number, 0)]
+        assert word.a_unit_split == (1, own(number, 1), 2) and word.b_unit_split == (own(number, 1), own(number, 0))
+    assert [w.surface for w in d.units(word, "A")] == ["東京", "京", "都"]
+    df = spark.createDataFrame([(1, "東京京都")], "id long, text string")
+    assert [(r.surface, r.dictionary_id) for r in L.tokenized(df, d, "id", mode="A").orderBy("idx").collect()] == [("東京", 0), ("京", 1), ("都", 0)]
+    assert d.parts == [tuple(NOUN.split(",")), ("名詞", "普通名詞", "一般", "*", "*", "*")]
+
+
+def test_costs_are_set_at_load(spark, user):
+    d = etl.load(spark, f"{user}/out", (f"{user}/user",), rewriters=[])
+    # three unknown words, then 都: 100 - 6000, less 20 for each of four
+    assert d.by_id[1 << 28].cost == -5980 and d.by_id[(1 << 28) + 1].cost == 5
+
+
+def test_kinds_and_headers_are_checked(spark, user):
+    for target, users in ((f"{user}/user", ()), (f"{user}/out", (f"{user}/out",))):
+        with pytest.raises(ValueError, match="invalid dictionary"):
+            etl.load(spark, target, users)
+    with pytest.raises(ValueError, match="256"):
+        etl.header(spark, False, "x" * 257)
+    with pytest.raises(ValueError, match="at most 16"):
+        etl.load(spark, f"{user}/out", (f"{user}/user",) * 16)
+
+
+def test_large_tables_are_refused():
+    with pytest.raises(ValueError, match="bytes"):
+        L.Connection([40_000], [40_000], [1])
+    c = L.Connection([0, 2, 1], [0, 1, 2], [0, -100, 200])
+    assert [c.get(x) for x in ((2, 1), (1, 2), (0, 0), (9, 9), (2, 2))] == [-100, 200, 0, 0, 0]
+
+
+def test_settings_name_files_and_classes(spark, built, tmp_path, capsys, monkeypatch):
+    import io
+    import json
+
+    (tmp_path / "rules").write_text("x\ty\n")
+    (tmp_path / "s.json").write_text(json.dumps({"systemDict": f"{built}/out", "rewriteDefinitionFile": "rules", "inputTextPlugin": [{"class": "p.DefaultInputTextPlugin"}]}))
+    d = etl.configured(spark, str(tmp_path / "s.json"))
+    assert d.rewriters[0].apply("xXⅢ") == "yxiii" and len(d.words) == 3
+    monkeypatch.setattr("sys.stdin", io.StringIO("東京都\n\nab\n"))
+    assert cli.main(["-r", str(tmp_path / "s.json"), "-m", "A"]) == 0
+    assert [x.split("\t")[0] for x in capsys.readouterr().out.splitlines()] == ["東京", "都", "EOS", "EOS", "ab", "EOS"]
+    for bad in ({"inputTextPlugin": [{"class": "p.Other"}]}, {"oovProviderPlugin": [{}]}, {"oovProviderPlugin": [{"class": "Other"}]}):
+        with pytest.raises(DefinitionError):
+            D.parts_of(D.DEFAULTS | {"folder": ""} | bad)
+
+
+def test_command_line_builds_user_dictionaries(spark, built, capsys):
+    (built / "u2.csv").write_text(USER, encoding="utf-8")
+    assert cli.main(["ubuild", "-o", f"{built}/u2", "-s", f"{built}/out", f"{built}/u2.csv"]) == 0
+    (built / "in2.txt").write_text("東京京都\n", encoding="utf-8")
+    assert cli.main(["-d", f"{built}/out", "-u", f"{built}/u2", "-a", "-m", "A", f"{built}/in2.txt"]) == 0
+    assert [(x.split("\t")[0], x.split("\t")[-1]) for x in capsys.readouterr().out.splitlines()] == [("東京", "0"), ("京", "1"), ("都", "0"), ("EOS", "EOS")]
+
+
+def test_documents_path_by_brute_force(spark):
+    """Long texts of several scripts: no position may be lost, and costs equal those of all segmentations of each piece."""
+    d = L.Dictionary([word(i, w, 1 + i % 3, 1 + i % 2, 100 * i) for i, w in enumerate(["ab", "a", "b", "漢", "漢字", " ", "字か"])], {(1, 2): 50, (2, 1): 900, (0, 3): 7})
+    text = "ab 漢字かa b漢" * 3
+    path, want = L.solve(text, d), brute(text, d)
+    assert path[-1].total + d.connection.get((path[-1].right_id, 0), 0) == want[0]
+    long = text * 2000
+    rows = L.morphemes(long, d)
+    assert "".join(r[3] for r in rows) == long and [r[1] for r in rows[1:]] == [r[2] for r in rows[:-1]]
+
+
 def test_tokenize_split_and_print(spark, built):
     d = etl.load(spark, f"{built}/out", rewriters=[])
     df = spark.createDataFrame([(1, "東京都に"), (2, ""), (3, None)], "id long, text string")
@@ -174,5 +268,5 @@ def test_definition_files(spark, tmp_path):
     assert D.ranges_file(str(tmp_path / "c.def")) == [(0x30, 0x3A, 16)]
     assert D.parse_properties(D.read_text(str(tmp_path / "c.def"))) == {"NUMERIC": (1, 1, 0)}
     assert sorted(tuple(r) for r in D.connection_text(spark, str(tmp_path / "m.def")).collect()) == [(0, 0, 5), (1, 1, -7)]
-    assert D.settings(str(tmp_path / "s.json"))["leftId"] == 1 and D.settings()["cost"] == 6000
+    assert D.settings(str(tmp_path / "s.json"))["leftId"] == 1 and D.settings()["oovProviderPlugin"][0]["cost"] == 6000
     assert D.parse_templates("ALPHA,1,2,3,a,b,c,d,e,f\n") == {"ALPHA": [(1, 2, 3, ("a", "b", "c", "d", "e", "f"))]}

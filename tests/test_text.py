@@ -1,6 +1,9 @@
 """Published values of the text layer, and errors of malformed definitions."""
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from morphlake.functions import categories as K
@@ -92,16 +95,116 @@ def test_overlapping_ranges(spark):
     assert cats.mask("2") == 20 and cats.mask("3") == 16 and cats.mask("a") == 1
 
 
+def slow_runs(masks):
+    """Remaining characters of the greedy run at each position, character by character."""
+    out, i = [0] * len(masks), 0
+    while i < len(masks):
+        both, j = masks[i], i + 1
+        while j < len(masks) and both & masks[j]:
+            both &= masks[j]
+            j += 1
+        out[i:j] = range(j - i, 0, -1)
+        i = j
+    return out
+
+
+def slow_longest(masks):
+    out = []
+    for i in range(len(masks)):
+        both, j = masks[i], i + 1
+        while j < len(masks) and both & masks[j]:
+            both &= masks[j]
+            j += 1
+        out.append(j - i)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 15), max_size=40))
+def test_runs_by_brute_force(masks):
+    m = np.array(masks, np.int32)
+    assert C.runs_of(m).tolist() == slow_runs(masks)
+    assert C.longest_runs(m).tolist() == slow_longest(masks)
+
+
 def test_plan_agrees_with_worker_code(spark):
-    texts = [TEXT, "", "Ｈello ΑΒΓ где 12,3", None, "ーァア々"]
+    texts = [TEXT, "", "Ｈello ΑΒΓ где 12,3", None, "ーァア々", "x" * 300_000]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    c = C.candidate_lengths(C.word_starts(C.classified(C.exploded(df, "id")), "id"), "id").join(C.run_lengths(df, "id"), ["id", "pos"])
-    got = {(r.id, r.pos): (r.mask, r.can_bow, r.candidate_length, r.run_length) for r in c.collect()}
+    got = {(r.id, r.pos): tuple(r)[2:] for r in C.profiled(df, "id").collect()}
     want = {}
     for i, t in enumerate(texts):
         v = View(t or "", K.Categories())
-        want |= {(i, p): (v.mask[p], v.can_bow[p], v.candidate_length[p], v.run_length[p]) for p in range(len(t or ""))}
+        at = byte_starts(t or "")
+        longest = slow_longest(v.mask) if i < 5 else list(range(len(t), 0, -1))
+        want |= {(i, p): (t[p], v.mask[p], v.can_bow[p], v.candidate_length[p], v.run_length[p], longest[p], at[p]) for p in range(len(t or ""))}
     assert got == want
+    assert v.run_length == list(range(300_000, 0, -1))
+
+
+def test_shared_categories_of_spans(spark):
+    masks = [4, 4 | 64, 64, 64 | 16, 16, 1]
+    df = spark.createDataFrame([(masks,)], "m array<int>")
+
+    def slow(a, b):
+        out = masks[a]
+        for x in masks[a:b]:
+            out &= x
+        return 1 if b - a > slow_runs(masks)[a] else out
+
+    spans = [(a, b) for a in range(6) for b in range(a + 1, 7)]
+    row = df.select(*[C.shared_categories("m", F.lit(a), F.lit(b)).alias(f"{a}_{b}") for a, b in spans]).first()
+    assert list(row) == [slow(a, b) for a, b in spans]
+
+
+def test_default_tables():
+    """Values of the default categories and rules, typed in."""
+    cats = K.Categories()
+    want = {"　": 8, "！": 8, "：": 8, "［": 8, "｛": 8, "￥": 8, "⁰": 16, "Ⅳ": 16, "々": 32780, "〇": 268, "㈱": 8, "㍻": 8, "︰": 8, "﹫": 8, "゛": 192, "⑀": 1, "⦀": 1, "─": 1, "━": 8, "\U0001f600": 1}
+    assert {c: cats.mask(c) for c in want} == want
+    assert cats.masks("a\U0010ffff").tolist() == [32, 1] and cats.masks("").tolist() == []
+    rules, keep = N.default_rules(), N.default_ignored()
+    assert len(rules) == 182 and len(keep) == 835
+    assert {k: rules.get(k) for k in ("か\u3099", "か゛", "かﾞ", "ｶﾞ", "ｶ゛", "は\u309a", "ワ\u3099", "ゝ゛", "ウ\u3099")} == {"か\u3099": "が", "か゛": "が", "かﾞ": "が", "ｶﾞ": "ガ", "ｶ゛": None, "は\u309a": "ぱ", "ワ\u3099": None, "ゝ゛": None, "ウ\u3099": "ヴ"}
+    assert "ↀ" not in keep and "ⅿ" in keep
+
+
+ANY = st.text(alphabet=st.one_of(st.sampled_from("aB-ーか\u3099ゝﾞ゛ⅢİßſΣς ¼²\u00a0…“"), st.characters(max_codepoint=0x30FF, exclude_categories=["Cs"])), max_size=25)
+
+
+@settings(max_examples=500, deadline=None)
+@given(ANY)
+def test_short_ways_of_rewriting_agree(text):
+    """The text alone, and the way for plain Latin, against pieces put together."""
+    for r in (N.DefaultRewriter(), N.MarkCollapser()):
+        pieces = list(r.pieces(text))
+        assert r.apply(text) == "".join(x[2] for x in pieces)
+        plain = r.steady(text)
+        assert plain is None or [(i, i + 1) for i in range(len(text))] == [x[:2] for x in pieces] and plain == r.apply(text) and len(plain) == len(text)
+
+
+def test_modified_in_the_jvm_agrees(spark):
+    texts = ["Plain ASCII -- text", "ÄÖÜ Straße ªº²³¹µ ¼", "\u00a0nbsp", None, "", "か\u3099ーー", "“quotes” – dash‑", "ΑΣ Σ", "İstanbul", "ŁÓDŹ ſ", "㈱ -－-", "\U0001f600 smile"]
+    texts += ["x" + chr(c) + "Y" for c in [*range(1, 0x250), *range(0x2010, 0x2070), *range(0x20A0, 0x20C1)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.modified for r in N.modified(df).collect()}
+    assert got == {i: None if t is None else N.rewrite(t, N.default_chain())[0] for i, t in enumerate(texts)}
+
+
+def test_substring_bounds(spark):
+    df = spark.createDataFrame([("abc",)], "t string")
+    assert df.select(C.substring_of(F.col("t"), F.lit(1), F.lit(3)).alias("x")).first().x == "bc"
+    for a, b in ((2, 4), (-1, 2), (2, 1)):
+        with pytest.raises(Exception, match="bounds"):
+            df.select(C.substring_of(F.col("t"), F.lit(a), F.lit(b))).collect()
+
+
+def test_prefix_lookup_by_brute_force(spark):
+    long = "ab" * 30
+    words = ["a", "ab", "b", "ba", long, long + "c", "漢字", "𡈽"]
+    lex = spark.createDataFrame([(w, i) for i, w in enumerate(words)] + [(None, 99)], "headword string, word_id int")
+    texts = [None, "", "ab漢字𡈽a", long + "c" + long[:50], "ba" * 400]
+    got = {tuple(r) for r in X.prefix_lookup(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text", lex).select("id", "begin", "end", "word_id").collect()}
+    assert got == {(i, p, p + len(w), k) for i, t in enumerate(texts) for p in range(len(t or "")) for k, w in enumerate(words) if t.startswith(w, p)}
 
 
 @pytest.mark.parametrize("props,without,with_words", [((0, 0, 0), 0, 0), ((1, 0, 0), 0, 0), ((0, 1, 0), 1, 0), ((1, 1, 0), 1, 1), ((0, 0, 2), 2, 0), ((0, 1, 2), 3, 0), ((1, 1, 2), 3, 3)])
