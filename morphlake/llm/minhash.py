@@ -12,9 +12,9 @@ times its shingles (a short excerpt of a long text is the business of substring
    alone. Partitions share their band keys, so every document is emitted once.
 4. Round A is linear: every member of a bucket meets the bucket's leader and its own predecessor in dominance
    order. The best of them by sketch is checked exactly on the texts. Nearly all copies are settled here.
-5. Round B looks at the buckets that hold members of several groups so far. All pairs of documents of different
-   groups that meet there are candidates, settled or not; sketches that are four standard deviations short of the
-   pair's own Jaccard threshold are refused. Of each pair of groups the most alike candidates are checked exactly
+5. Round B looks at the buckets that hold members of several groups so far. All documents of different groups that
+   meet there are compared by their sketches, settled or not, block by block, so that no bucket is one task; pairs that
+   are four standard deviations short of their own Jaccard threshold are refused, and no others are written. Of each pair of groups the most alike candidates are checked exactly
    first; groups that turn out to be linked are one from then on, and the rest of their candidates can't change
    anything. This goes on, with more candidates each time, until none between different groups is left unchecked.
 6. The verified pairs are edges; of each connected group the lowest id stays. So copies of one original that differ
@@ -47,6 +47,8 @@ FIRST_CHECKED, MORE_CHECKED = 2, 8
 HASHES = 243
 RECALL = 0.9  # of a pair exactly at the worst Jaccard threshold of its partitions
 SEED = 20240607
+#: Rows of a bucket that are compared with each other at once; larger buckets are compared block by block.
+BLOCK = 2048
 
 PAIR = "doc_id long, keeper_id long, containment double"
 
@@ -138,21 +140,99 @@ def _signatures(k: int, hashes: int, layouts: list[tuple[int, int]]):
     return run
 
 
-def _estimated(batches):
+def _likeness(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of sketches: whether these leave the pair's own Jaccard threshold possible, and the estimated containment."""
+    est = np.clip(((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256), 0, 1)
+    need = threshold * size_a / (size_a + size_b - threshold * size_a)
+    return est >= need - 4 * np.sqrt(need * (1 - need) / a.shape[1]), est / (1 + est) * (size_a + size_b) / size_a
+
+
+def _estimated(threshold: float):
     """Arrow function: keep the pairs whose sketches leave their own Jaccard threshold possible; adds ``est``."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in ("sketch_a", "sketch_b"))
-        size_a, size_b, t = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("size_a", "size_b", "threshold"))
-        width = a.shape[1]
-        est = np.clip(((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256), 0, 1)
-        need = t * size_a / (size_a + size_b - t * size_a)
-        ok = est >= need - 4 * np.sqrt(need * (1 - need) / width)
-        contained = est / (1 + est) * (size_a + size_b) / size_a
-        kept = batch.select(["doc_id", "cand_id"]).filter(pa.array(ok))
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(contained[ok])], ["doc_id", "cand_id", "est"])
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in ("sketch_a", "sketch_b"))
+            size_a, size_b = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("size_a", "size_b"))
+            ok, contained = _likeness(a, b, size_a, size_b, threshold)
+            kept = batch.select(["doc_id", "cand_id"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(contained[ok])], ["doc_id", "cand_id", "est"])
+
+    return run
+
+
+def _met(threshold: float, max_ratio: float, allowed: list[tuple[int, int]]):
+    """Rows of blocks of buckets, those of a pair of blocks in a row, to the likely pairs of documents of different groups.
+
+    ``allowed``: per distance of two size partitions, the bands [from, to) that count for it.
+    """
+    names = ["doc_id", "cand_id", "est"]
+
+    def pairs_of(t: pa.Table):
+        ids, size, g, block = (t.column(c).to_numpy() for c in ("doc_id", "size", "g", "block"))
+        if len(np.unique(g)) < 2:
+            return
+        band = int(t.column("band")[0].as_py())
+        far = max((d for d, (lo, hi) in enumerate(allowed) if lo <= band < hi), default=-1)
+        near = min((d for d, (lo, hi) in enumerate(allowed) if lo <= band < hi), default=0)
+        level = np.floor(2 * np.log2(size)).astype(np.int64)
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        both = block.min() != block.max()
+        order = np.lexsort((ids, -size))  # dominating ones first
+        ids, size, g, block, level, sketch = (x[order] for x in (ids, size, g, block, level, sketch))
+        for i in range(1, len(ids)):
+            to = np.searchsorted(-size[:i], -max_ratio * size[i])  # from here on, at most so many times as large
+            ok = g[to:i] != g[i]
+            apart = level[to:i] - level[i]
+            ok &= (apart >= near) & (apart <= far)
+            if both:
+                ok &= block[to:i] != block[i]  # pairs within a block meet where that block is alone
+            at = np.flatnonzero(ok) + to
+            for lo in range(0, len(at), 4096):
+                own = at[lo : lo + 4096]
+                likely, est = _likeness(sketch[i : i + 1], sketch[own], size[i].astype(float), size[own].astype(float), threshold)
+                if likely.any():
+                    yield np.full(int(likely.sum()), ids[i]), ids[own[likely]], est[likely]
+
+    def run(batches):
+        kept: list[pa.RecordBatch] = []
+        out, n = [], 0
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names)
+
+        def whole(batches):
+            """Tables of one pair of blocks each."""
+            now = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                key, pair = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                edges = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
+                for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+                    this = (key[a], pair[a])
+                    if this != now and kept:
+                        yield pa.Table.from_batches(kept)
+                        kept.clear()
+                    now = this
+                    kept.append(batch.slice(a, b - a))
+            if kept:
+                yield pa.Table.from_batches(kept)
+
+        for t in whole(batches):
+            for got in pairs_of(t):
+                out.append(got)
+                n += len(got[0])
+                if n > 20_000:
+                    yield done()
+                    out, n = [], 0
+        if out:
+            yield done()
+
+    return run
 
 
 def _contained(k: int):
@@ -217,8 +297,8 @@ def near_duplicates(
         a = sketches.select(F.col("doc_id").alias("ia"), F.col("sketch").alias("sketch_a"))
         b = sketches.select(F.col("doc_id").alias("ib"), F.col("sketch").alias("sketch_b"))
         both = pairs.join(a, F.col("doc_id") == F.col("ia")).join(b, F.col("cand_id") == F.col("ib"))
-        both = both.select("doc_id", "cand_id", "size_a", "size_b", F.lit(threshold).alias("threshold"), "sketch_a", "sketch_b")
-        return both.transform(arrow, _estimated, "doc_id long, cand_id long, est double")
+        both = both.select("doc_id", "cand_id", "size_a", "size_b", "sketch_a", "sketch_b")
+        return both.transform(arrow, _estimated(threshold), "doc_id long, cand_id long, est double")
 
     met = [buckets.select("band", F.col("doc_id"), F.col("size").alias("size_a"), F.col(f"{c}.doc_id").alias("cand_id"), F.col(f"{c}.size").alias("size_b")) for c in ("lead", "prev")]
     first = met[0].union(met[1]).filter(f"cand_id IS NOT NULL AND doc_id <> cand_id AND {fits}")
@@ -234,12 +314,16 @@ def near_duplicates(
     placed = named(buckets.select("key", "band", "doc_id", "size"), "doc_id", "g")
     several = placed.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("key")
     placed = cut(placed.join(several, "key", "left_semi"), "minhash-mixed")
-    a = placed.select("key", "band", "doc_id", F.col("size").alias("size_a"), F.col("g").alias("g_a"))
-    b = placed.select("key", F.col("doc_id").alias("cand_id"), F.col("size").alias("size_b"), F.col("g").alias("g_b"))
-    second = a.join(b, "key").filter(f"g_a <> g_b AND (size_b > size_a OR (size_b = size_a AND cand_id < doc_id)) AND {fits}")
-    second = second.select("doc_id", "cand_id", "size_a", "size_b").distinct()
+    # buckets fall into blocks; every pair of blocks of a bucket is a small group of its own, whatever the bucket's size
+    by_key = Window.partitionBy("key")
+    blocks = placed.withColumn("block", F.expr(f"int((row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1) div {BLOCK})"))
+    blocks = blocks.withColumn("n", F.max("block").over(by_key) + 1).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    paired = blocks.withColumn("pair", F.least("block", "other").cast("long") * F.col("n") + F.greatest("block", "other"))
+    paired = paired.join(sketches.withColumnRenamed("doc_id", "s_id"), F.col("doc_id") == F.col("s_id")).select("key", "pair", "band", "block", "doc_id", F.col("size").cast("long").alias("size"), "g", "sketch")
+    second = paired.repartition("key", "pair").sortWithinPartitions("key", "pair").transform(arrow, _met(threshold, max_ratio, [(starts[r], starts[r] + n) for _, r, n in bands]), "doc_id long, cand_id long, est double")
+    second = second.groupBy("doc_id", "cand_id").agg(F.max("est").alias("est"))
     second = second.join(tested.select("doc_id", "cand_id"), ["doc_id", "cand_id"], "left_anti")
-    left, links, many = cut(sketched(second), "minhash-second"), settled, FIRST_CHECKED
+    left, links, many = cut(second, "minhash-second"), settled, FIRST_CHECKED
     while True:
         between = named(named(left, "doc_id", "g_a"), "cand_id", "g_b").filter("g_a <> g_b")
         likeliest = Window.partitionBy(F.least("g_a", "g_b"), F.greatest("g_a", "g_b")).orderBy(F.desc("est"), "doc_id", "cand_id")
