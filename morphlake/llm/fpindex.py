@@ -13,6 +13,10 @@ the context of the first occurrence, these whole windows are looked for as well,
 that holds such windows alone, each once with its first occurrence. A whole window seen before is thus always met:
 its occurrence is the first of its half window, or the second index has it.
 
+The index is a folder: its runs, and a manifest of them that is written anew after every load (``Runs.save``). A later
+session opens the last whole manifest and goes on (``index`` of ``repeated_spans``); runs that a manifest doesn't name
+are leftovers of a load that didn't end. Texts are not in it: who goes on gives the earlier documents as ``history``.
+
 Matches are verified on the texts: from each matched window the two places are extended word by word to both sides
 while they agree, and spans of at least MIN_WORDS equal words are reported.
 
@@ -21,11 +25,13 @@ end exclusive. Order of arrival is the id; a batch is a range of ids.
 
 Defined results: null and empty texts and texts of fewer words have no spans. Rows with a null id are ignored. Of
 repeated ids the longest text counts, of these the least. A passage repeated within one document is reported as
-its own source where the places don't overlap. An empty table gives an empty result. Extra columns are ignored.
+its own source where the places don't overlap. An empty table gives an empty result. Extra columns are ignored. Ids
+are whole numbers (cast to long; others are null).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import numpy as np
@@ -39,6 +45,8 @@ from morphlake.llm.textkit import U, Words, mix, powers, slices, utf8
 
 MIN_WORDS = 50
 BATCHES = 4
+#: Bytes of texts whose words a task remembers while it verifies.
+REMEMBERED = 1 << 20
 FAN = 3
 SPAN = "doc_id long, begin int, end int, n_words int, source_id long, source_begin int, source_end int"
 
@@ -98,21 +106,27 @@ def _whole(min_words: int):
 
 
 class Runs:
-    """The index: levels of immutable runs, each a table bucketed and sorted by hash in the shared folder."""
+    """The index: levels of immutable runs, each a table bucketed and sorted by hash in the index's folder."""
 
-    def __init__(self, spark: SparkSession, buckets: int, fan: int = FAN):
+    def __init__(self, spark: SparkSession, buckets: int, fan: int = FAN, path: str | None = None):
         self.spark, self.buckets, self.fan = spark, buckets, fan
+        self.path = path or new_path(spark, "index")
         self.levels: list[list[str]] = []
         self.wider: Runs | None = None  # whole windows of later occurrences in other surroundings
+        self.saved = 0
         self.name = "fp_" + uuid.uuid4().hex[:10]
-        self.made = 0
+
+    def _table(self, run: str) -> str:
+        return f"{self.name}_{run}"
 
     def write(self, rows: DataFrame, what: str) -> str:
-        """An immutable run."""
-        self.made += 1
-        name = f"{self.name}_{what}_{self.made}"
-        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", new_path(self.spark, what)).saveAsTable(name)
-        return name
+        """An immutable run; its name is part of its path."""
+        run = f"{what}_{uuid.uuid4().hex[:12]}"
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{run}").saveAsTable(self._table(run))
+        return run
+
+    def table(self, run: str) -> DataFrame:
+        return self.spark.table(self._table(run))
 
     def history(self) -> list[str]:
         return [r for level in self.levels for r in level]
@@ -125,44 +139,80 @@ class Runs:
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fan:
                 return
-            merged = self.spark.table(self.levels[level][0])
+            merged = self.table(self.levels[level][0])
             for other in self.levels[level][1:]:
-                merged = merged.unionByName(self.spark.table(other))
+                merged = merged.unionByName(self.table(other))
             # hashes of different runs differ: compaction is a merge, nothing to reconcile
             run = self.write(merged.repartition(self.buckets, "h"), "compacted")
             self.levels[level] = []
             level += 1
 
-    def drop(self, name: str) -> None:
+    def drop(self, run: str) -> None:
         """Remove a run that no later plan reads."""
-        (path,) = {x.rpartition("/")[0] for x in self.spark.table(name).inputFiles()} or {None}
-        self.spark.sql(f"DROP TABLE {name}")
-        if path:
-            drop_tables(self.spark, path)
+        self.spark.sql(f"DROP TABLE {self._table(run)}")
+        drop_tables(self.spark, f"{self.path}/{run}")
 
     def forget(self) -> None:
-        """Drop the session's names; files that plans may still read stay until the application ends."""
+        """Drop the session's names; the files stay."""
         if self.wider:
             self.wider.forget()
         for t in self.spark.catalog.listTables():
             if t.name.startswith(self.name):
                 self.spark.sql(f"DROP TABLE {t.name}")
 
+    def _described(self) -> dict:
+        return {"path": self.path, "levels": self.levels, "schemas": {r: self.table(r).schema.simpleString()[7:-1] for r in self.history()}, "wider": self.wider and self.wider._described()}
+
+    def save(self) -> None:
+        """Write the manifest under the next number: a load either is in it or didn't happen."""
+        self.saved += 1
+        whole = json.dumps(self._described() | {"buckets": self.buckets, "fan": self.fan})
+        self.spark.createDataFrame([(whole,)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.saved:09d}")
+
+    def _take(self, found: dict) -> Runs:
+        self.levels = found["levels"]
+        for run, schema in found["schemas"].items():
+            columns = ", ".join(c.replace(":", " ", 1) for c in schema.split(","))
+            self.spark.sql(f"CREATE TABLE {self._table(run)} ({columns}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        if found["wider"]:
+            self.wider = Runs(self.spark, self.buckets, self.fan, found["wider"]["path"])._take(found["wider"])
+        return self
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, buckets: int, fan: int = FAN) -> Runs:
+        """The index in a folder as its last manifest has it; a new one if it has none."""
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        whole = sorted(x.getPath().getName() for x in fs.listStatus(at) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))) if fs.exists(at) else []
+        if not whole:
+            return cls(spark, buckets, fan, path)
+        found = json.loads(spark.read.text(f"{path}/manifest/{whole[-1]}").first()[0])
+        runs = cls(spark, found["buckets"], found["fan"], path)
+        runs.saved = int(whole[-1])
+        return runs._take(found)
+
 
 def _aligned(min_words: int):
     """(doc_id, text, source_id, source_text, places) to verified maximal spans."""
 
-    def words_of(text: str):
-        data, offsets = utf8(pa.array([text]))
-        w = Words(data, offsets)
-        return w, data.tobytes(), np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    def words_of(known: dict, key: int, text: str):
+        """A text's words, bytes and code points; of some texts they are remembered, as sources come again and again."""
+        got = known.pop(key, None)
+        if got is None:
+            data, offsets = utf8(pa.array([text]))
+            got = Words(data, offsets), data.tobytes(), np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            while known and len(got[1]) + sum(len(x[1]) for x in known.values()) > REMEMBERED:
+                known.pop(next(iter(known)))
+        known[key] = got
+        return got
 
     def run(batches):
+        known: dict[int, tuple] = {}
         for batch in batches:
             out = [[] for _ in range(7)]
             for doc, text, src, src_text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source_id", "source_text", "places"))):
-                w, raw, cp = words_of(text)
-                v, raw2, cp2 = (w, raw, cp) if src == doc else words_of(src_text)
+                w, raw, cp = words_of(known, doc, text)
+                v, raw2, cp2 = (w, raw, cp) if src == doc else words_of(known, src, src_text)
                 done: dict[int, int] = {}  # per diagonal: first word not yet covered
                 for p, q in sorted((x["pos"], x["source_pos"]) for x in places):
                     d = p - q
@@ -178,7 +228,7 @@ def _aligned(min_words: int):
                     a, b, a2, b2 = p - lo, p + hi, q - lo, q + hi
                     if src == doc and b2 > a:  # a periodic passage: no further than its own source reaches
                         b, b2 = b - (b2 - a), a
-                    if b - a < min_words or any(raw[s:e] != raw2[s2:e2] for s, e, s2, e2 in zip(w.start[a:b], w.end[a:b], v.start[a2:b2], v.end[a2:b2])):
+                    if b - a < min_words or raw[w.start[a] : w.end[b - 1]].split() != raw2[v.start[a2] : v.end[b2 - 1]].split():
                         continue
                     for col, x in zip(out, (doc, cp[w.start[a]], cp[w.end[b - 1]], b - a, src, cp2[v.start[a2]], cp2[v.end[b2 - 1]])):
                         col.append(int(x))
@@ -190,13 +240,12 @@ def _aligned(min_words: int):
 
 def _matched(runs: Runs, prints: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     """``prints`` (h, doc_id, pos, extra) with their first occurrence in the batch (self) and in history (old); the batch's table."""
-    spark = runs.spark
     batch = runs.write(prints.repartition(runs.buckets, "h"), "batch")
     place = F.struct("doc_id", "pos", *extra)
-    found = spark.table(batch).withColumn("self", F.first(place).over(Window.partitionBy("h").orderBy("doc_id", "pos")))
+    found = runs.table(batch).withColumn("self", F.first(place).over(Window.partitionBy("h").orderBy("doc_id", "pos")))
     sources = []
     for i, run in enumerate(runs.history()):
-        old = spark.table(run).select(F.col("h").alias(f"h{i}"), place.alias(f"s{i}"))
+        old = runs.table(run).select(F.col("h").alias(f"h{i}"), place.alias(f"s{i}"))
         found = found.join(old.hint("merge"), F.col("h") == F.col(f"h{i}"), "left")
         sources.append(F.col(f"s{i}"))
     known = F.coalesce(*sources) if sources else F.lit(None).cast(found.schema["self"].dataType)
@@ -224,7 +273,7 @@ def ingest(runs: Runs, batch: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     if not n:
         return hits
     if runs.wider is None:
-        runs.wider = Runs(runs.spark, runs.buckets, runs.fan)
+        runs.wider = Runs(runs.spark, runs.buckets, runs.fan, f"{runs.path}/wider")
     texts = batch.join(small(other, 24 * n + 4 * places, 1), F.col("doc_id") == F.col("d")).select("doc_id", "text", "at")
     found, name = _matched(runs.wider, texts.transform(arrow, _whole(min_words), "h long, doc_id long, pos int"))
     more = cut(found.filter(REPEATED).selectExpr(*HIT), "fp-hits")
@@ -233,18 +282,30 @@ def ingest(runs: Runs, batch: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     return hits.union(more)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, batches: int = BATCHES, fan: int = FAN) -> DataFrame:
-    """Spans of later documents that repeat an earlier one, over all batches."""
-    spark = docs.sparkSession
-    docs = pick(docs, doc_id=id_col, text=text_col).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+def _single(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text): of repeated ids the longest text, of these the least."""
+    docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.expr("try_cast(doc_id AS long)")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     again = cut(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")), "fp-again")
     n = again.count()
-    if n:
-        same = F.col("doc_id") == F.col("again")
-        one = docs.join(small(again, n, 16), same, "left_semi").groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), F.negative(F.xxhash64("text")).alias("x"), "text")).alias("m"))
-        docs = docs.join(small(again, n, 16), same, "left_anti").union(one.select("doc_id", "m.text"))
+    if not n:
+        return docs
+    same = F.col("doc_id") == F.col("again")
+    one = docs.join(small(again, n, 16), same, "left_semi").groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), F.negative(F.xxhash64("text")).alias("x"), "text")).alias("m"))
+    return docs.join(small(again, n, 16), same, "left_anti").union(one.select("doc_id", "m.text"))
+
+
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, batches: int = BATCHES, fan: int = FAN, index: str | None = None, history: DataFrame | None = None
+) -> DataFrame:
+    """Spans of later documents that repeat an earlier one, over all batches.
+
+    ``index``: a folder to keep the index in and to go on from; ``history``: the documents that are in it already, which
+    come before all of ``docs`` (their ids are others).
+    """
+    spark = docs.sparkSession
+    docs = _single(docs, id_col, text_col)
     ends = docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
-    runs = Runs(spark, parallel(docs), fan)
+    runs = Runs.open(spark, index, parallel(docs), fan) if index else Runs(spark, parallel(docs), fan)
     hits = None
     lows = [None, *sorted(set(ends))]
     for lo, hi in zip(lows, [*lows[1:], None]):
@@ -255,7 +316,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             part = part.filter(F.col("doc_id") <= hi)
         got = ingest(runs, part, min_words)
         hits = got if hits is None else hits.union(got)
+    if index:
+        runs.save()
     runs.forget()
+    if history is not None:
+        docs = docs.union(_single(history, id_col, text_col))
     # one row per pair of documents; a window is kept only where its diagonal begins or goes on after a gap
     by = Window.partitionBy("doc_id", "source_id", F.col("pos") - F.col("source_pos")).orderBy("pos")
     gap = F.col("pos") - F.coalesce(F.lag("pos").over(by), F.lit(-(1 << 30)))

@@ -59,7 +59,7 @@ def test_compaction_keeps_every_hash(spark):
     for i in range(5):
         fpindex.ingest(runs, docs.filter(f"doc_id % 5 = {i}"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    n = sum(spark.table(t).count() for t in runs.history())
+    n = sum(runs.table(r).count() for r in runs.history())
     again = fpindex.ingest(runs, docs.selectExpr("doc_id + 100 AS doc_id", "text"))
     assert again.count() == n
     runs.forget()
@@ -77,3 +77,30 @@ def test_first_occurrence_in_other_surroundings(spark):
     docs = spark.createDataFrame(rows(*texts.values()), DOCS)
     for batches in (1, 3, 7):
         assert covered(fpindex.repeated_spans(docs, batches=batches).collect(), texts) == brute(texts, fpindex.MIN_WORDS)
+
+
+def test_a_second_session_goes_on(spark, tmp_path):
+    """The index of one load is opened by name in the next; what a load that broke off has left isn't seen."""
+    p, q = prose(50, 80), prose(51, 70)
+    texts = dict(enumerate([f"{p} {prose(52, 30)}", f"{prose(53, 40)} {q}", " ".join(p.split()[:45]) + " x", f"{prose(54, 9)} {p}", f"{q} {prose(55, 9)} {p}", prose(56, 90), f"{prose(57, 20)} {' '.join(p.split()[20:])}"]))
+    docs = spark.createDataFrame(rows(*texts.values()), DOCS)
+    want = brute(texts, fpindex.MIN_WORDS)
+    index = f"file://{tmp_path}/index"
+    first = fpindex.repeated_spans(docs.filter("doc_id < 3"), batches=2, index=index).collect()
+    broken = fpindex.Runs.open(spark, index, 4)
+    fpindex.ingest(broken, docs.filter("doc_id >= 3"))  # never saved
+    broken.forget()
+    later = spark.newSession()
+    new, old = (later.createDataFrame(docs.filter(c).collect(), DOCS) for c in ("doc_id >= 3", "doc_id < 3"))
+    second = fpindex.repeated_spans(new, batches=2, index=index, history=old).collect()
+    assert covered([*first, *second], texts) == want and {r.doc_id for r in second} == {3, 4, 6}
+
+
+def test_periodic_hot_and_text_ids(spark):
+    """One text of one line over and over, a passage that a third of all documents share, ids that are text."""
+    p = prose(60, 55)
+    texts = dict(enumerate(["a b c " * 60] + [f"{prose(100 + i, 20)} {p if i % 3 == 0 else prose(300 + i, 55)} {prose(200 + i, 10)}" for i in range(60)] + ["x " + "a b c " * 40]))
+    docs = spark.createDataFrame([(str(i), t) for i, t in texts.items()] + [("none", p)], "doc_id string, text string")
+    got, want = covered(fpindex.repeated_spans(docs).collect(), texts), brute(texts, fpindex.MIN_WORDS)
+    # the periodic document repeats itself, too, from where its own source ends on
+    assert {d: x for d, x in got.items() if d} == want and len(got[0]) >= 90
