@@ -57,12 +57,17 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write a table to the shared folder and read it back: ends the lineage, survives lost executors."""
+def cut_at(df: DataFrame, what: str = "cut") -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it back: ends the lineage, survives lost executors. Also its path,
+    for ``drop_tables`` once nothing reads it any more."""
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, what: str = "cut") -> DataFrame:
+    return cut_at(df, what)[0]
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -112,14 +117,16 @@ def parallel(df: DataFrame) -> int:
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, label): the lowest id of each document's connected group, by propagation and pointer jumping."""
     a, b = F.col("doc_id").alias("doc_id"), F.col("keeper_id").alias("nbr")
-    edges = cut(links.select(a, b).union(links.select(F.col("keeper_id"), F.col("doc_id"))), "groups-edges")
-    labels = cut(edges.groupBy("doc_id").agg(F.least("doc_id", F.min("nbr")).alias("label")), "groups-labels")
+    edges, edges_path = cut_at(links.select(a, b).union(links.select(F.col("keeper_id"), F.col("doc_id"))), "groups-edges")
+    labels, old = cut_at(edges.groupBy("doc_id").agg(F.least("doc_id", F.min("nbr")).alias("label")), "groups-labels")
     while True:
         of = labels.select(F.col("doc_id").alias("o"), F.col("label").alias("of"))
         seen = edges.join(of, F.col("nbr") == F.col("o")).groupBy("doc_id").agg(F.min("of").alias("seen"))
         least = labels.join(seen, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "seen").alias("l"))
         jumped = least.join(of, F.col("l") == F.col("o")).select("doc_id", F.least("l", "of").alias("label"), (F.least("l", "of") < F.col("old")).alias("moved"))
-        now = cut(jumped, "groups-labels")
+        now, path = cut_at(jumped, "groups-labels")
+        drop_tables(links.sparkSession, old)
         if now.filter("moved").isEmpty():
+            drop_tables(links.sparkSession, edges_path)
             return now.drop("moved")
-        labels = now.drop("moved")
+        labels, old = now.drop("moved"), path

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import arrow, components, cut, pick, shielded, small, table
+from morphlake.llm.common import arrow, components, cut, cut_at, drop_tables, pick, shielded, small, table
 from morphlake.llm.textkit import PUNCT, U, Words, mix, slices, utf8
 
 SHINGLE = 5  # words
@@ -323,11 +323,14 @@ def near_duplicates(
     second = paired.repartition("key", "pair").sortWithinPartitions("key", "pair").transform(arrow, _met(threshold, max_ratio, [(starts[r], starts[r] + n) for _, r, n in bands]), "doc_id long, cand_id long, est double")
     second = second.groupBy("doc_id", "cand_id").agg(F.max("est").alias("est"))
     second = second.join(tested.select("doc_id", "cand_id"), ["doc_id", "cand_id"], "left_anti")
-    left, links, many = cut(second, "minhash-second"), settled, FIRST_CHECKED
+    left, old = cut_at(second, "minhash-second")
+    links, many = settled, FIRST_CHECKED
     while True:
         between = named(named(left, "doc_id", "g_a"), "cand_id", "g_b").filter("g_a <> g_b")
         likeliest = Window.partitionBy(F.least("g_a", "g_b"), F.greatest("g_a", "g_b")).orderBy(F.desc("est"), "doc_id", "cand_id")
-        ranked = cut(between.withColumn("r", F.row_number().over(likeliest)).select("doc_id", "cand_id", "est", "r"), "minhash-ranked")
+        ranked, path = cut_at(between.withColumn("r", F.row_number().over(likeliest)).select("doc_id", "cand_id", "est", "r"), "minhash-ranked")
+        drop_tables(docs.sparkSession, old)
+        old = path
         now = ranked.filter(f"r <= {many}")
         if now.isEmpty():
             break

@@ -2,12 +2,13 @@
 
 Every input partition is a capture run. Its records get a URL key (SURT form: host reversed, scheme, fragment,
 default port and leading ``www`` dropped, query arguments sorted), a 14-digit timestamp, a digest and a length, and
-are sorted by (key, timestamp, id) on their own. Range bounds over the URL keys, taken from an even sample of them,
-cut all runs alike; a merge task gets its range of every run and merges the k sorted slices with a loser tree,
-which costs one comparison per level and record. Ranges are in order, and so are the records in each: with the
-ranges' sizes every record has its global rank, and every capture its place in its URL's history.
+are sorted by (key, timestamp, id) on their own. Range bounds over these triples, taken from an even sample of them,
+cut all runs alike; a merge task gets its range of every run, about ``RANGE_ROWS`` index rows, and merges the k sorted
+slices with a loser tree, which costs one comparison per level and record. Ranges are in order, and so are the records
+in each: with the ranges' sizes every record has its global rank, and every capture its place in its URL's history. A
+history may go over several ranges; what a range begins with goes on from where the one before it ended.
 
-A URL's history stays in one range. A payload never moves: only index rows are shuffled.
+A payload never moves: only index rows are shuffled.
 
 Pages without a time of capture get one from their id (2024 plus ``id * 7919`` seconds, within the year).
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import arrow, cut, pick, table
+from morphlake.llm.common import arrow, cut, pick, small, table
 
 #: Index rows per merge task, and sampled keys per bound.
 RANGE_ROWS = 50_000
@@ -145,27 +146,39 @@ def histories(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     runs = cut(runs, "warc-runs")
     n = runs.count()
     ranges = max(1, -(-n // range_rows))
-    some = F.pmod(F.xxhash64("url_key"), F.lit(max(1, n // (ranges * PER_BOUND)))) == 0
-    sample = sorted(r[0] for r in runs.filter(some).select("url_key").distinct().collect()) if ranges > 1 else []
-    bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    # bounds are whole keys with their times, so the history of a hot URL spreads over ranges, too
+    some = F.pmod(F.xxhash64(*order), F.lit(max(1, n // (ranges * PER_BOUND)))) == 0
+    found = runs.filter(some).select(*order).distinct().collect() if ranges > 1 else []
+    sample = sorted(found, key=lambda r: [(x is not None, x or type(y)()) for x, y in zip(r, ("", "", 0))])
+    bounds = list(dict.fromkeys(tuple(sample[len(sample) * i // ranges]) for i in range(1, ranges))) if sample else []
     ranges = len(bounds) + 1
     if bounds:
-        ends = F.broadcast(spark.createDataFrame([(bounds,)], "ends array<string>"))
+        ends = spark.createDataFrame([(0, bounds)], "one int, ends array<struct<url_key: string, capture_ts: string, page_id: long>>")
         bits = F.array(*[F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))])
-        step = lambda at, bit: F.when(F.get("ends", at + bit - 1) <= F.col("url_key"), at + bit).otherwise(at)
-        runs = runs.crossJoin(ends).withColumn("rng", F.aggregate(bits, F.lit(0), step)).drop("ends")
+        step = lambda at, bit: F.when(F.get("ends", at + bit - 1) <= F.struct(*order), at + bit).otherwise(at)
+        runs = runs.withColumn("one", F.lit(0)).join(small(ends, len(bounds), 200), "one").withColumn("rng", F.aggregate(bits, F.lit(0), step)).drop("ends", "one")
     else:
         runs = runs.withColumn("rng", F.lit(0))
     schema = "url_key string, capture_ts string, page_id long, digest string, length long, rng int, capture_no long, changed boolean, pos long"
     merged = cut(runs.repartitionById(ranges, F.col("rng")).transform(arrow, _merge, schema), "warc-merged")
-    sizes = {r[0]: r[1] for r in merged.groupBy("rng").count().collect()}  # one number per merge task
-    starts, total = [], 0
+    # one row for each range: how many captures it has, and what its first and last ones are
+    edge = F.struct("pos", "url_key", "digest", "capture_no")
+    edges = {r.rng: r for r in merged.groupBy("rng").agg(F.count("*").alias("n"), F.min(edge).alias("first"), F.max(edge).alias("last")).collect()}
+    starts, total, last = [], 0, None  # last: URL, digest and number of the capture before the range
     for r in range(ranges):
-        starts.append((r, total))
-        total += sizes.get(r, 0)
-    offs = F.broadcast(spark.createDataFrame(starts, "o int, start long"))
+        e = edges.get(r)
+        if e is None:
+            continue
+        goes_on = last is not None and last[0] == e.first.url_key
+        starts.append((r, total, e.first.url_key if goes_on else None, last[2] if goes_on else 0, last[1] if goes_on else None))
+        total += e.n
+        last = (e.last.url_key, e.last.digest, e.last.capture_no + (last[2] if goes_on and e.last.url_key == e.first.url_key else 0))
+    offs = small(spark.createDataFrame(starts, "o int, start long, same string, earlier long, before string"), len(starts), 200)
     out = merged.join(offs, F.col("rng") == F.col("o"))
-    return out.select("url_key", "capture_ts", "page_id", "digest", "length", "capture_no", "changed", (F.col("start") + F.col("pos") + 1).alias("global_rank"))
+    here = F.coalesce(F.col("same") == F.col("url_key"), F.lit(False))
+    number = F.col("capture_no") + F.when(here, F.col("earlier")).otherwise(0)
+    changed = F.when(here & (F.col("pos") == 0), ~F.col("digest").eqNullSafe(F.col("before"))).otherwise(F.col("changed"))
+    return out.select("url_key", "capture_ts", "page_id", "digest", "length", number.alias("capture_no"), changed.alias("changed"), (F.col("start") + F.col("pos") + 1).alias("global_rank"))
 
 
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

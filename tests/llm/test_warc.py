@@ -46,6 +46,18 @@ def test_histories_match_brute_force(spark):
         assert got == brute(rows)
 
 
+def test_history_of_a_hot_url_spreads_over_ranges(spark):
+    r = random.Random(9)
+    pages = [(i, "http://hot.org/" if i % 3 else f"http://h{r.randint(0, 40)}.org/", r.choice(["<a>", "<b>"])) for i in range(900)] + [(None, "http://hot.org/", "<c>"), (7, "http://hot.org/", "<a>")]
+    index = warc.captures(spark.createDataFrame(pages, PAGES).repartition(5))
+    rows = [tuple(x) for x in index.collect()]
+    out = warc.histories(index, range_rows=50)
+    got = sorted((tuple(x) for x in out.collect()), key=lambda x: x[-1])
+    want = brute(rows)
+    same = lambda rows: [x[:3] + x[4:6] + x[7:] for x in rows]  # noqa: E731 - ties may stand in either order
+    assert same(got) == same(want) and sum(a[6] == b[6] for a, b in zip(got, want)) >= len(want) - 2
+
+
 def test_awkward_rows(spark):
     pages = [(1, None, None), (1, None, None), (None, "http://a.org", "x"), (2, "", ""), (3, "http://a.org", "y" * 1_000_000)]
     df = clashing(spark.createDataFrame(pages, PAGES), "url_key", "run", "rng", "seq")
