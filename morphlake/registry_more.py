@@ -524,11 +524,11 @@ def settings_source(spark, sf_dir):
 
 def _grouped_sql(longest: int = 16) -> str:
     """Least total of each name: nodes by the rules of the settings above, then one step for each position."""
-    steps = ["t0 AS (SELECT DISTINCT id, 0 AS at, 0 AS r, 0 AS total FROM ch)"]
+    steps = ["t0 AS MATERIALIZED (SELECT DISTINCT id, 0 AS at, 0 AS r, 0 AS total FROM ch)"]
     for p in range(longest):
         seen = " UNION ALL ".join(f"SELECT * FROM t{q}" for q in range(p + 1))
         steps.append(
-            f't{p + 1} AS (SELECT n.id, n."end" AS at, n.r, min(t.total + c.cost + n.cost) AS total FROM nodes n JOIN ({seen}) t ON t.id = n.id AND t.at = {p} AND n.begin = {p} '
+            f't{p + 1} AS MATERIALIZED (SELECT n.id, n."end" AS at, n.r, min(t.total + c.cost + n.cost) AS total FROM nodes n JOIN ({seen}) t ON t.id = n.id AND t.at = {p} AND n.begin = {p} '
             "JOIN conn c ON c.l = t.r AND c.r = n.l WHERE c.cost <> 32767 GROUP BY ALL)"
         )
     every = " UNION ALL ".join(f"SELECT * FROM t{q}" for q in range(longest + 1))
@@ -557,15 +557,16 @@ def best_path_grouped(spark, sf_dir):
 
 # whole documents
 
-_WORDS_IN = f"""{LEX}, s AS (SELECT doc_id, lower(text) AS text FROM documents), p AS (SELECT text, unnest(range(length(text))) AS pos FROM s WHERE length(text) > 0),
-n AS (SELECT DISTINCT length(headword) AS n FROM lex)"""
 
-
-@query(f"{_WORDS_IN} SELECT l.word_id, count(*) AS n FROM (SELECT substr(text, CAST(pos + 1 AS BIGINT), n) AS w FROM p, n WHERE pos + n <= length(text)) x JOIN lex l ON l.headword = x.w GROUP BY 1")
+@query(
+    f"""{LEX}, w AS (SELECT word_id, headword FROM lex WHERE kind = 1 AND variant = 0), d AS (SELECT lower(text) AS text FROM documents)
+SELECT word_id, CAST(sum(len(string_split(text, headword)) - 1) AS BIGINT) AS n FROM d, w WHERE contains(text, headword) GROUP BY 1"""
+)
 def lexicon_prefix_documents(spark, sf_dir):
-    """How often each word begins somewhere in the documents."""
+    """How often each simple word begins somewhere in the documents (none of them can overlap itself)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("text"))
-    return X.prefix_lookup(docs, "doc_id", "text", demo.lexicon(spark, sf_dir).select("headword", "word_id")).groupBy("word_id").agg(F.count("*").alias("n"))
+    words = demo.lexicon(spark, sf_dir).filter("pos = 'word,0,*,*,*,*'").select("headword", "word_id")
+    return X.prefix_lookup(docs, "doc_id", "text", words).groupBy("word_id").agg(F.count("*").alias("n"))
 
 
 @query()
