@@ -34,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words, and token pairs, remembered in each of a worker's two generations, and characters of such a word at most, so that
 #: memory is bounded (results don't depend on it).
-REMEMBERED = 60_000
+REMEMBERED = 160_000
 LONGEST = 48
 
 RESULT = "ids array<int>, n_ids int, exact boolean"
@@ -127,7 +127,7 @@ class PieceModel:
                     limit, strict, a = made_a, True, self.split[a][1]
                 else:
                     limit, strict, b = made_b, False, self.split[b][0]
-        if len(self.pairs) >= 4 * REMEMBERED:
+        if len(self.pairs) >= 2 * REMEMBERED:
             self.pairs.clear()
         self.pairs[left, right] = ok
         return ok
