@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from morphlake.functions.categories import DefinitionError
 
+MARKS_RUN = "[ー\\-⁓〜〰]{2}"
 RESULT = "struct<original: string, modified: string, offsets: array<int>>"
 
 
@@ -171,11 +172,12 @@ def _plain() -> tuple[str, str, str]:
     Plain are characters of Latin script and its punctuation that become one other character or stay.
     """
     one = DefaultRewriter().one
-    candidates = [c for a, b in ((0, 0x130), (0x131, 0x180), (0x2010, 0x203B), (0x20A0, 0x20C1)) for c in map(chr, range(a, b))]
-    plain = [c for c in candidates if len(one(c)) == 1]
-    changed = [c for c in plain if one(c) != c.lower()]
-    pattern = "[^" + "".join(f"\\x{{{ord(c):X}}}" for c in plain) + "]"
-    return pattern, "".join(changed), "".join(map(one, changed))
+    candidates = [c for a, b in ((0, 0x130), (0x131, 0x180), (0x2010, 0x2020), (0x20AC, 0x20AD)) for c in range(a, b)]
+    plain = [c for c in candidates if len(one(chr(c))) == 1]
+    edges = [i for i, c in enumerate(plain) if i == 0 or plain[i - 1] != c - 1]
+    spans = [(plain[i], plain[j - 1]) for i, j in zip(edges, [*edges[1:], len(plain)])]
+    changed = [chr(c) for c in plain if one(chr(c)) != chr(c).lower()]
+    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]", "".join(changed), "".join(map(one, changed))
 
 
 def modified(df: DataFrame, text_col: str = "text", out_col: str = "modified") -> DataFrame:
@@ -191,7 +193,10 @@ def modified(df: DataFrame, text_col: str = "text", out_col: str = "modified") -
     text = F.col(text_col)
     # a branch doesn't keep a Python function from running, an empty input does
     sent = df.withColumn("__other", F.when(text.rlike(pattern), text)).withColumn("__done", run("__other"))
-    return sent.withColumn(out_col, F.coalesce("__done", collapsed(F.translate(F.lower(text), old.lower(), new)))).drop("__other", "__done")
+    low = F.lower(text)
+    low = F.when(text.rlike(f"[{old}]"), F.translate(low, old, new)).otherwise(low)
+    plain = F.when(F.col("__other").isNull(), F.when(low.rlike(MARKS_RUN), collapsed(low)).otherwise(low))
+    return sent.withColumn(out_col, F.coalesce("__done", plain)).drop("__other", "__done")
 
 
 def collapsed(text: Column, marks: str = "ー-⁓〜〰", symbol: str = "ー") -> Column:
