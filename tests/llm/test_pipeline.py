@@ -91,3 +91,14 @@ def test_empty_table_and_clashing_columns(spark, sf_dir, stage):
     assert [c for c in got.columns if c not in ("ids", "n_ids", "exact")] == [*data.columns, *names]
     rows = got.collect()
     assert len(rows) == 6 and all(r[n] == "x" for r in rows for n in names)
+
+
+def test_mixing_changes_what_is_encoded(spark, sf_dir):
+    """Sources of 64 and 4 documents: the small one gets its weight by repetition, and the last stage encodes it so."""
+    rows = [(i, prose(i, 30), "en", "web" if i < 64 else "books", 0) for i in range(68)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.source_mixing(spark, docs, sf_dir)
+    encoded = corpus_pipeline.sentencepiece_encoding(spark, mixed, sf_dir).collect()
+    times = Counter(r.doc_id for r in encoded)
+    assert Counter(r.source for r in encoded) == {"web": 64, "books": 9}  # 64 * (4 / 64) ** 0.7 = 9.19
+    assert all(times[i] == 1 for i in range(64)) and sorted(times[i] for i in range(64, 68)) == [2, 2, 2, 3]
