@@ -26,6 +26,7 @@ from morphlake.functions.normalize import default_chain, rewrite, rewrite_text
 from morphlake.operators.chars import candidate_lengths, runs_of, word_starts
 from morphlake.operators.lexicon import INHIBITED, MAX_DICTIONARIES, USER_SHIFT, packed, prefix_lookup
 from morphlake.operators.oov import SimpleOov
+from morphlake.operators.segments import Headwords, Segmenter, applies, slices
 
 #: A lexicon is broadcast up to so many rows (about 400 bytes each in a worker) and bytes of its texts.
 BROADCAST_ROWS = 2_000_000
@@ -150,6 +151,10 @@ class Dictionary:
     def by_id(self) -> dict[int, Word]:
         return {w.packed: w for w in self.words}
 
+    @cached_property
+    def headwords(self) -> Headwords:
+        return Headwords(self)
+
     @cached_property
     def pos_ids(self) -> dict[tuple, int]:
         """The first id of each part of speech."""
@@ -181,8 +186,9 @@ class Dictionary:
         return [self.by_id[u] for u in ids] if len(ids) > 1 else []
 
 
-def solve(text: str, d: Dictionary, lookup=None, log: list | None = None) -> list[Node]:
-    """Best path of one rewritten text. ``log`` gets all nodes in insertion order (the lattice dump).
+def solve(text: str, d: Dictionary, lookup=None, log: list | None = None, before: int = 0, behind: int = 0) -> list[Node]:
+    """Best path of one rewritten text. ``log`` gets all nodes in insertion order (the lattice dump). ``before`` and
+    ``behind``: right id of what stands before it, left id of what stands behind it.
 
     Nodes are numbers into parallel lists. Candidates at one position with the same left id have the same best
     predecessor, which is looked for once.
@@ -193,7 +199,7 @@ def solve(text: str, d: Dictionary, lookup=None, log: list | None = None) -> lis
     edges, connection = d.edges, d.connection
     nodes: list[tuple] = []  # begin, end, left id, right id, cost, word, pos, total, predecessor
     ends: list[list | None] = [None] * (n + 1)  # connected nodes that end here: (total, right id, number); None: no node at all
-    ends[0] = [(0, 0, -1)]
+    ends[0] = [(0, before, -1)]
     mask, can_bow = view.mask, view.can_bow
     barred = MASK["NOOOVBOW"]
 
@@ -208,12 +214,12 @@ def solve(text: str, d: Dictionary, lookup=None, log: list | None = None) -> lis
         return least, at
 
     for i in range(n):
-        before = ends[i]
-        if before is None or not can_bow[i]:
+        own_before = ends[i]
+        if own_before is None or not can_bow[i]:
             continue
         known: dict[int, tuple] = {}
 
-        def insert(end: int, left_id: int, right_id: int, cost: int, word, pos, i=i, before=before, known=known) -> None:
+        def insert(end: int, left_id: int, right_id: int, cost: int, word, pos, i=i, before=own_before, known=known) -> None:
             got = known.get(left_id)
             if got is None:
                 got = known[left_id] = best(before, left_id)
@@ -242,7 +248,7 @@ def solve(text: str, d: Dictionary, lookup=None, log: list | None = None) -> lis
                 some = True
         if not some:
             raise NoMorpheme(f"there is no morpheme at {i}")
-    at = best(ends[n] or [], 0)[1] if n else -1
+    at = best(ends[n] or [], behind)[1] if n else -1
     path: list[int] = []
     while at >= 0:
         path.append(at)
@@ -291,10 +297,22 @@ _TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string())
 _NAMES = [x.split()[0] for x in MORPHEME.split(", ")]
 
 
-def _batch(key: pa.Array, key_name: str, per_row: list[list[tuple]]) -> pa.RecordBatch:
-    at = pa.array(np.repeat(np.arange(len(per_row)), [len(rows) for rows in per_row]))
-    columns = [pa.array([r[j] for rows in per_row for r in rows], t) for j, t in enumerate(_TYPES)]
-    return pa.RecordBatch.from_arrays([key.take(at), *columns], [key_name, *_NAMES])
+def _batch(key: pa.Array, key_name: str, per_row: list[list[tuple]], names: list[str] = _NAMES, types: list = _TYPES, at: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of the texts as a batch. ``at``: the list of each row of the key, if rows share them."""
+    columns = [pa.array([r[j] for rows in per_row for r in rows], t) for j, t in enumerate(types)]
+    counts = np.array([len(rows) for rows in per_row], np.int64)
+    if at is None:
+        return pa.RecordBatch.from_arrays([key.take(pa.array(np.repeat(np.arange(len(per_row)), counts))), *columns], [key_name, *names])
+    own = counts[at]
+    of = np.repeat(np.arange(len(at)), own)
+    where = pa.array(np.arange(len(of)) - np.repeat(np.cumsum(own) - own, own) + (np.cumsum(counts) - counts)[at][of])
+    return pa.RecordBatch.from_arrays([key.take(pa.array(of)), *(c.take(where) for c in columns)], [key_name, *names])
+
+
+def _different(texts: pa.Array) -> tuple[list[str | None], np.ndarray]:
+    """The different texts, and which of them each row has: equal texts are solved once."""
+    coded = texts.dictionary_encode(null_encoding="encode")
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
 def _shared(df: DataFrame, dictionary: Dictionary):
@@ -303,19 +321,30 @@ def _shared(df: DataFrame, dictionary: Dictionary):
     return df.sparkSession.sparkContext.broadcast(dictionary)
 
 
-def tokenized(df: DataFrame, dictionary: Dictionary, id_col: str, text_col: str = "text", mode: str = "C", errors: str = "raise") -> DataFrame:
-    """(id, MORPHEME...) of every text, in one narrow pass. ``errors``: "raise", or "skip" texts without a morpheme."""
+def tokenized(df: DataFrame, dictionary: Dictionary, id_col: str, text_col: str = "text", mode: str = "C", errors: str = "raise", columns: list[str] | None = None) -> DataFrame:
+    """(id, MORPHEME...) of every text, in one narrow pass. ``errors``: "raise", or "skip" texts without a morpheme;
+    ``columns``: those of MORPHEME that are wanted, in its order (all)."""
     shared = _shared(df, dictionary)
+    wanted = [j for j, name in enumerate(_NAMES) if columns is None or name in columns]
+    names, types = [_NAMES[j] for j in wanted], [_TYPES[j] for j in wanted]
 
     def run(batches):
         d = shared.value
+        segmenter = Segmenter(d, mode, names, types) if applies(d) else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield _batch(part.column(0), id_col, [_guarded(t, d, mode, errors) for t in part.column(1).to_pylist()])
+            for first, texts in slices(batch.column(1)):
+                key = batch.column(0).slice(first, len(texts))
+                if segmenter:
+                    at, made = segmenter.rows(texts)
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(at)), *made], [id_col, *names])
+                    continue
+                different, at = _different(texts)
+                per_text = [[tuple(m[j] for j in wanted) for m in _guarded(t, d, mode, errors)] for t in different]
+                yield _batch(key, id_col, per_text, names, types, at)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"{id_col} {kind}, {MORPHEME}")
+    schema = ", ".join(x for j, x in enumerate(MORPHEME.split(", ")) if j in wanted)
+    return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"{id_col} {kind}, {schema}")
 
 
 def _guarded(text, d: Dictionary, mode: str, errors: str, lookup=None) -> list[tuple]:
@@ -343,11 +372,10 @@ def printed_texts(df: DataFrame, dictionary: Dictionary, text_col: str = "text",
     def run(batches):
         d = shared.value
         for batch in batches:
-            out: list[str] = []
-            for text in batch.column(0).to_pylist():
-                out += [line_of(m, print_all) for m in _guarded(text, d, mode, errors)]
-                out.append("EOS")
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            for _, texts in slices(batch.column(0)):
+                different, at = _different(texts)
+                lines = [[*((line_of(m, print_all),) for m in _guarded(t, d, mode, errors)), ("EOS",)] for t in different]
+                yield _batch(texts, "text", lines, ["value"], [pa.string()], at).select(["value"])
 
     return df.select(F.col(text_col).alias("__text")).mapInArrow(run, "value string")
 
@@ -416,17 +444,17 @@ def lattice_dump(df: DataFrame, dictionary: Dictionary, id_col: str, text_col: s
     names = ["seq", "begin", "end", "left_id", "right_id", "cost", "total", "is_oov", "on_path"]
     types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()]
 
+    def nodes(text: str | None, d: Dictionary) -> list[tuple]:
+        log: list[Node] = []
+        best = {id(x) for x in (solve(rewrite_text(text, d.rewriters), d, log=log) if text else [])}
+        return [(s, x.begin, x.end, x.left_id, x.right_id, x.cost, x.total, x.word is None, id(x) in best) for s, x in enumerate(log)]
+
     def run(batches):
         d = shared.value
         for batch in batches:
-            at, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                log: list[Node] = []
-                best = {id(x) for x in (solve(rewrite_text(text, d.rewriters), d, log=log) if text else [])}
-                rows += [(s, x.begin, x.end, x.left_id, x.right_id, x.cost, x.total, x.word is None, id(x) in best) for s, x in enumerate(log)]
-                at += [i] * len(log)
-            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], [id_col, *names])
+            for first, texts in slices(batch.column(1)):
+                different, at = _different(texts)
+                yield _batch(batch.column(0).slice(first, len(texts)), id_col, [nodes(t, d) for t in different], names, types, at)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(
@@ -443,7 +471,7 @@ def internal_cost(tokens: DataFrame, id_col: str) -> DataFrame:
 def auto_costs(words: DataFrame, dictionary: Dictionary, id_col: str, surface_col: str = "surface", per_morpheme: int = -20) -> DataFrame:
     """Costs of user words that come without one: internal cost of the surface's path, less 20 per morpheme, as i16."""
     keyed = words.select(F.col(id_col).alias("__key"), F.col(surface_col).alias("__surface"))  # a morpheme has a word_id, too
-    got = internal_cost(tokenized(keyed, dictionary, "__key", "__surface"), "__key")
+    got = internal_cost(tokenized(keyed, dictionary, "__key", "__surface", columns=["idx", "cost"]), "__key")
     cost = F.col("internal_cost") + per_morpheme * F.col("n_morphemes")
     return got.select(F.col("__key").alias(id_col), F.greatest(F.lit(-32768), F.least(F.lit(32767), cost)).cast("int").alias("cost"))
 

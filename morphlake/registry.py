@@ -237,7 +237,7 @@ _COLUMNS = ["p_partkey", "idx", "begin", "end", "surface", "word_id", "is_oov",
 
 @query(_PATH.replace("coalesce(word_id, 0) AS word_id", "CAST(coalesce(word_id, 0) AS BIGINT) AS word_id"))
 def best_path(spark, sf_dir):
-    return L.tokenized(demo.names(spark, sf_dir), demo.dictionary(spark, sf_dir), "p_partkey", "p_name").select(*_COLUMNS)
+    return L.tokenized(demo.names(spark, sf_dir), demo.dictionary(spark, sf_dir), "p_partkey", "p_name", columns=_COLUMNS).select(*_COLUMNS)
 
 
 @query(ORACLES["best_path"])
@@ -274,7 +274,8 @@ CAST(coalesce(sum(length(s)) OVER (PARTITION BY id ORDER BY idx, k ROWS BETWEEN
 
 
 def _split(spark, sf_dir, mode):
-    return L.tokenized(demo.names(spark, sf_dir), demo.dictionary(spark, sf_dir), "p_partkey", "p_name", mode).select("p_partkey", "idx", "surface", "word_id", "begin")
+    columns = ["idx", "surface", "word_id", "begin"]
+    return L.tokenized(demo.names(spark, sf_dir), demo.dictionary(spark, sf_dir), "p_partkey", "p_name", mode, columns=columns).select("p_partkey", *columns)
 
 
 @query(_split_sql("a_split"))
@@ -303,7 +304,7 @@ def morpheme_print_all(spark, sf_dir):
 
 @query(f"{_named()} SELECT id AS p_partkey, CAST(arg_max(cost, idx) - arg_min(cost, idx) AS INTEGER) AS internal_cost, count(*) AS n_morphemes FROM path GROUP BY id")
 def internal_cost(spark, sf_dir):
-    return L.internal_cost(L.tokenized(demo.names(spark, sf_dir), demo.dictionary(spark, sf_dir), "p_partkey", "p_name"), "p_partkey")
+    return L.internal_cost(L.tokenized(demo.names(spark, sf_dir), demo.dictionary(spark, sf_dir), "p_partkey", "p_name", columns=["idx", "cost"]), "p_partkey")
 
 
 def _user(spark, sf_dir) -> DataFrame:
@@ -341,7 +342,7 @@ def stream_tokenize(spark, sf_dir):
     """The table as a stream, through the same plan; all that is there, then the result."""
     source = spark.read.parquet(f"{sf_dir}/part.parquet")
     at = folder(spark, "stream")
-    tokens = stream(spark, f"{sf_dir}/part.parquet*", source.schema.simpleString()[7:-1].replace(":", " "), demo.dictionary(spark, sf_dir), "p_partkey", "p_name")
+    tokens = stream(spark, f"{sf_dir}/part.parquet*", source.schema.simpleString()[7:-1].replace(":", " "), demo.dictionary(spark, sf_dir), "p_partkey", "p_name", columns=_COLUMNS)
     to_parquet(tokens, f"{at}/out", f"{at}/log").awaitTermination()
     return spark.read.parquet(f"{at}/out").select(*_COLUMNS)
 

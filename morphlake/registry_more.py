@@ -381,7 +381,7 @@ def parts_of_speech(spark, sf_dir):
 def built_dictionary_best_path(spark, sf_dir):
     """From lexicon and matrix files to morphemes."""
     d = etl.load(spark, f"{_built(spark, sf_dir)}/system")
-    return L.tokenized(demo.names(spark, sf_dir), d, "p_partkey", "p_name").select(*PATH_COLUMNS)
+    return L.tokenized(demo.names(spark, sf_dir), d, "p_partkey", "p_name", columns=PATH_COLUMNS).select(*PATH_COLUMNS)
 
 
 # names through the system and user dictionary 1; then, the second one's costs known, through all three
@@ -401,8 +401,9 @@ def _user_dictionary(spark: SparkSession, sf_dir: str) -> L.Dictionary:
 )
 def user_tokenize_auto_cost(spark, sf_dir):
     """Two user dictionaries; the words of the second get their costs from paths through the first and the system's."""
-    tokens = L.tokenized(demo.names(spark, sf_dir), _user_dictionary(spark, sf_dir), "p_partkey", "p_name")
-    return tokens.filter("NOT is_oov").select("p_partkey", "idx", "surface", "word_id", "dictionary_id", "cost")
+    columns = ["idx", "surface", "word_id", "dictionary_id", "cost"]
+    tokens = L.tokenized(demo.names(spark, sf_dir), _user_dictionary(spark, sf_dir), "p_partkey", "p_name", columns=[*columns, "is_oov"])
+    return tokens.filter("NOT is_oov").select("p_partkey", *columns)
 
 
 @query(
@@ -412,7 +413,8 @@ SELECT id AS p_partkey, CAST(row_number() OVER (PARTITION BY id ORDER BY idx, k)
 )
 def user_split_a(spark, sf_dir):
     """User words split into words of the system dictionary."""
-    return L.tokenized(demo.names(spark, sf_dir), _user_dictionary(spark, sf_dir), "p_partkey", "p_name", "A").select("p_partkey", "idx", "surface", "word_id")
+    columns = ["idx", "surface", "word_id"]
+    return L.tokenized(demo.names(spark, sf_dir), _user_dictionary(spark, sf_dir), "p_partkey", "p_name", "A", columns=columns).select("p_partkey", *columns)
 
 
 @query("WITH odd AS (SELECT DISTINCT p_name AS h FROM part WHERE length(p_name) % 2 = 1), u AS (SELECT h, 1 + CAST(h >= 'i' AS INTEGER) AS d, row_number() OVER (PARTITION BY h >= 'i' ORDER BY h) - 1 AS w FROM odd) SELECT h AS surface, concat(d * 268435456 + w, ',', d * 268435456 + w) AS b_split, CASE d WHEN 1 THEN CAST(268435456 + w AS VARCHAR) ELSE '' END AS structure FROM u")
@@ -446,21 +448,22 @@ _POS = "p AS (SELECT pos, CAST(row_number() OVER (ORDER BY min(word_id)) - 1 AS
 @query(f"{NAMED}, {_POS} SELECT a.id AS p_partkey, CAST(a.idx AS INTEGER) AS idx, p.pos_id FROM path a LEFT JOIN lex USING (word_id) LEFT JOIN p USING (pos)")
 def part_of_speech_ids(spark, sf_dir):
     """Null for unknown words: their part of speech is none of the dictionary's."""
-    return L.tokenized(demo.names(spark, sf_dir), demo.dictionary(spark, sf_dir), "p_partkey", "p_name").select("p_partkey", "idx", "pos_id")
+    return L.tokenized(demo.names(spark, sf_dir), demo.dictionary(spark, sf_dir), "p_partkey", "p_name", columns=["idx", "pos_id"]).select("p_partkey", "idx", "pos_id")
 
 
 @query("SELECT p_partkey, CAST(unnest(range(length(p_name))) AS INTEGER) AS idx, unnest(string_split(p_name, '')) AS surface, CAST(CASE unnest(string_split(p_name, '')) WHEN 'o' THEN 6000 ELSE 10 END AS INTEGER) AS cost FROM part WHERE length(p_name) > 0")
 def barred_and_last_resort(spark, sf_dir):
     """Where providers are barred (o) the last one is asked all the same; elsewhere the first has an answer."""
     d = L.Dictionary(ranges=[(ord("o"), ord("o") + 1, MASK["NOOOVBOW"])], rewriters=[], providers=[GroupedOov({"DEFAULT": (1, 0, 1)}, {"DEFAULT": [(0, 0, 10, ("x",) * 6)]}), SimpleOov(0, 0)])
-    return L.tokenized(demo.names(spark, sf_dir), d, "p_partkey", "p_name").select("p_partkey", "idx", "surface", "cost")
+    columns = ["idx", "surface", "cost"]
+    return L.tokenized(demo.names(spark, sf_dir), d, "p_partkey", "p_name", columns=columns).select("p_partkey", *columns)
 
 
 @query("SELECT p_partkey, CAST(length(p_name) - length(replace(p_name, ' ', '')) AS BIGINT) * 2 + 1 AS n FROM part WHERE p_partkey % 3 = 0 AND length(p_name) > 0")
 def empty_texts(spark, sf_dir):
     """Null and empty texts have no morphemes."""
     texts = demo.names(spark, sf_dir).withColumn("p_name", F.expr("CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN '' END"))
-    return L.tokenized(texts, L.Dictionary(), "p_partkey", "p_name").groupBy("p_partkey").agg(F.count("*").alias("n"))
+    return L.tokenized(texts, L.Dictionary(), "p_partkey", "p_name", columns=["idx"]).groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
 @query(ORACLES["best_path"])
@@ -483,7 +486,7 @@ def split_a_by_join(spark, sf_dir):
 def texts_without_morpheme_skipped(spark, sf_dir):
     """Without a provider for z, texts that hold one are skipped."""
     d = L.Dictionary(ranges=[(ord("z"), ord("z") + 1, MASK["USER1"])], rewriters=[], providers=[GroupedOov({"DEFAULT": (1, 0, 1)}, {"DEFAULT": [(0, 0, 10, ("x",) * 6)]})])
-    return L.tokenized(demo.names(spark, sf_dir), d, "p_partkey", "p_name", errors="skip").groupBy("p_partkey").agg(F.count("*").alias("n"))
+    return L.tokenized(demo.names(spark, sf_dir), d, "p_partkey", "p_name", errors="skip", columns=["idx"]).groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
 # settings: a grouped provider, then a simple one, own ranges, rewriters by name
@@ -572,7 +575,7 @@ def lexicon_prefix_documents(spark, sf_dir):
 @query()
 def best_path_documents(spark, sf_dir):
     """Morphemes of whole documents with the demonstration lexicon."""
-    return L.tokenized(spark.read.parquet(f"{sf_dir}/documents.parquet"), demo.dictionary(spark, sf_dir), "doc_id").select("doc_id", *PATH_COLUMNS[1:])
+    return L.tokenized(spark.read.parquet(f"{sf_dir}/documents.parquet"), demo.dictionary(spark, sf_dir), "doc_id", columns=PATH_COLUMNS).select("doc_id", *PATH_COLUMNS[1:])
 
 
 @query()

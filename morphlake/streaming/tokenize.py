@@ -9,10 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from morphlake.operators.lattice import Dictionary, printed_texts, tokenized
 
 
-def stream(spark: SparkSession, folder: str, schema: str, dictionary: Dictionary, id_col: str, text_col: str = "text", mode: str = "C", **options) -> DataFrame:
+def stream(spark: SparkSession, folder: str, schema: str, dictionary: Dictionary, id_col: str, text_col: str = "text", mode: str = "C", columns: list[str] | None = None, **options) -> DataFrame:
     """Morphemes of a folder's Parquet files, as they arrive."""
     source = spark.readStream.schema(schema).options(**options).parquet(folder)
-    return tokenized(source, dictionary, id_col, text_col, mode)
+    return tokenized(source, dictionary, id_col, text_col, mode, columns=columns)
 
 
 def stream_lines(spark: SparkSession, folder: str, dictionary: Dictionary, mode: str = "C", print_all: bool = False, **options) -> DataFrame:
