@@ -204,6 +204,37 @@ class Rewritten:
         self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
 
 
+def rewritten(texts: pa.Array, rewriters: list) -> pa.Array:
+    """Structs of the original text, the modified one and the offsets into the original, of its end as well."""
+    texts = texts.cast(pa.string())
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    some = np.flatnonzero(size > 0)
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    if len(some):
+        t = Rewritten(texts.take(pa.array(some)), rewriters)
+        count = np.diff(t.starts) + 1
+        ends = np.cumsum(count)
+        if t.origin is None:
+            own = np.arange(ends[-1], dtype=np.int64) - np.repeat(ends - count, count)
+        else:
+            own = t.origin - np.repeat(t.original[:-1], count)
+        data = t.cp.tobytes().decode("utf-32-le").encode()
+        new = strings(data, byte_starts(t.cp)[t.starts])
+    else:
+        count, own, new = np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.string())
+    # an empty text has the offset of its end alone
+    lengths = np.where(null, 0, 1)
+    lengths[some] = count
+    at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    flat = np.zeros(at[-1], np.int32)
+    flat[np.repeat(size > 0, lengths)] = own
+    place = np.full(len(texts), len(new))
+    place[some] = np.arange(len(some))
+    modified = pc.if_else(pa.array(null), pa.scalar(None, pa.string()), pa.concat_arrays([new, pa.array([""])]).take(pa.array(place)))
+    offsets = pa.ListArray.from_arrays(pa.array(at, mask=np.append(null, False)) if null.any() else pa.array(at), pa.array(flat))
+    return pa.StructArray.from_arrays([texts, modified, offsets], ["original", "modified", "offsets"])
+
+
 class Segmenter:
     """Rows of morphemes (``names`` of MORPHEME's columns) of batches of texts."""
 

@@ -581,4 +581,4 @@ def best_path_documents(spark, sf_dir):
 @query()
 def normalize_offsets_documents(spark, sf_dir):
     """Of whole documents, as an array each."""
-    return normalized(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "norm.modified", "norm.offsets")
+    return normalized(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "norm.modified", "norm.offsets")

@@ -38,3 +38,14 @@ def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> str:
     """A small text file (its folder's only one), for definitions that are given inline."""
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
     return path
+
+
+#: Bytes of an Arrow batch sent to a worker, which makes several times as much of it.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session in bytes, not in rows alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

@@ -2,16 +2,17 @@
 
 import random
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
 
 from morphlake.functions.categories import DEFAULT_RANGES, MASK
-from morphlake.functions.normalize import DefaultRewriter, MarkCollapser
+from morphlake.functions.normalize import DefaultRewriter, MarkCollapser, normalized, rewrite
 from morphlake.operators import lattice as L
 from morphlake.operators.lexicon import INHIBITED
 from morphlake.operators.oov import SimpleOov
-from morphlake.operators.segments import Segmenter, slices
+from morphlake.operators.segments import Segmenter, rewritten, slices
 
 
 def rows(d, texts, mode):
@@ -73,3 +74,27 @@ def test_columns_and_repeated_texts(spark):
     lines = [r.value for r in L.printed_texts(df.coalesce(1), d).collect()]
     assert lines.count("EOS") == 6 and len(lines) == 14
     assert L.lattice_dump(df, d, "id").count() == 8
+
+
+def test_offsets_of_texts_together():
+    """Null, empty, plain, moved and vanishing texts in one slice."""
+    for chain in ([], [DefaultRewriter(), MarkCollapser()], [DefaultRewriter(set(), {"a": ""})]):
+        texts = ["", None, "Ab--c　½", "plain É", "a", None, "か゛x", "--", "aa", ""]
+        for part in (texts, texts[1:2], texts[:1], texts[2:4], []):
+            got = rewritten(pa.array(["dropped", *part], pa.string()).slice(1), chain).to_pylist()
+            want = [(None, None, None) if t is None else (t, *rewrite(t, chain)) for t in part]
+            assert [tuple(x.values()) for x in got] == want
+
+
+def test_offsets_in_bounded_memory(spark):
+    """Offsets of long texts as numbers in arrays: no object for each character."""
+    tracemalloc.start()
+    texts = pa.array(["Some plain text of a document. " * 500] * 100)
+    for _, part in slices(texts):
+        assert len(rewritten(part, [DefaultRewriter(), MarkCollapser()])) == len(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 512 * 1024
+    df = spark.createDataFrame([(1, "Ab--c", None), (2, None, 3)], "id long, text string, norm int")
+    got = normalized(df).orderBy("id").collect()
+    assert [(r.id, r.text, tuple(r.norm)) for r in got] == [(1, "Ab--c", ("Ab--c", "abーc", [0, 1, 2, 4, 5])), (2, None, (None, None, None))]
