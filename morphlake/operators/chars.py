@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morphlake.functions.categories import DEFAULT_RANGES, MASK, RUN_SCRIPTS, Categories, code_point, mask_column
+from morphlake.sources.shared import small_batches
 
 PROFILE = {"mask": "int", "can_bow": "boolean", "candidate_length": "int", "run_length": "int", "longest_run": "int", "byte_pos": "int"}
 #: Characters that an output batch of ``profiled`` holds, unless one text has more.
@@ -57,19 +59,23 @@ def candidate_lengths(can_bow: np.ndarray) -> np.ndarray:
     return begins[np.searchsorted(begins, at, side="right")] - at
 
 
-def runs_of(mask: np.ndarray) -> np.ndarray:
+def runs_of(mask: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
     """Greedy runs from the left: a run goes on while some category is shared by all of it. Remaining characters of
-    the run at each position."""
+    the run at each position. ``starts``: positions where a text begins, if there are several."""
     n = len(mask)
-    out = np.empty(n, np.int64)
+    if not n:
+        return np.empty(0, np.int64)
     # what all neighbours share can only break up further; within such stretches of one mask there is nothing to test
-    edges = np.flatnonzero((mask[1:] & mask[:-1]) == 0) + 1
-    for a, b in zip([0, *edges], [*edges, n]) if n else ():
-        own = mask[a:b]
-        if (own == own[0]).all():
-            out[a:b] = np.arange(b - a, 0, -1)
-            continue
-        i, m = 0, own.tolist()
+    fresh = np.ones(n, bool)
+    fresh[1:] = (mask[1:] & mask[:-1]) == 0
+    if starts is not None:
+        fresh[starts] = True
+    stretch = np.cumsum(fresh) - 1
+    bounds = np.append(np.flatnonzero(fresh), n)
+    out = bounds[stretch + 1] - np.arange(n)
+    for k in np.unique(stretch[1:][(mask[1:] != mask[:-1]) & ~fresh[1:]]).tolist():
+        a, b = int(bounds[k]), int(bounds[k + 1])
+        i, m = 0, mask[a:b].tolist()
         while i < len(m):
             both, j = m[i], i + 1
             while j < len(m) and both & m[j]:
@@ -157,6 +163,35 @@ def profiled(df: DataFrame, id_col: str, text_col: str = "text", columns: tuple[
     return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
+def summed(df: DataFrame, id_col: str, text_col: str = "text", ranges=DEFAULT_RANGES) -> DataFrame:
+    """(id, n_starts, candidate_chars, n_runs) of every text that isn't empty: word starts, the sum of candidate lengths, and
+    greedy runs. One row per text, many texts at once, no row per character."""
+    from morphlake.operators.segments import Rewritten, slices  # these build on this module
+
+    kind = df.schema[id_col].dataType.simpleString()
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        cats = Categories(ranges)
+        for batch in batches:
+            for first, texts in slices(batch.column(1)):
+                some = np.flatnonzero(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) > 0)
+                if not len(some):
+                    continue
+                t = Rewritten(texts.cast(pa.string()).take(pa.array(some)), [])
+                starts = t.starts[:-1]
+                mask = cats.table[np.minimum(t.cp, len(cats.table) - 1)]
+                bow = word_starts(mask)
+                bow[starts] = True
+                begin = np.flatnonzero(bow)
+                length = np.diff(np.append(begin, len(mask)))
+                units = np.searchsorted(begin, starts)
+                made = [np.add.reduceat(x, at) for x, at in ((np.ones_like(length), units), (length * (length + 1) // 2, units), ((runs_of(mask, starts) == 1).astype(np.int64), starts))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)).take(pa.array(some)), *map(pa.array, made)], [id_col, "n_starts", "candidate_chars", "n_runs"])
+
+    return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"{id_col} {kind}, n_starts long, candidate_chars long, n_runs long")
+
+
 def shared_categories(masks: str, begin: Column, end: Column) -> Column:
     """Categories that all characters of a span have; DEFAULT if it goes beyond the run that it begins in. ``masks``: column
     of a text's masks. Runs are greedy from the text's beginning, so what the run shares before the span counts."""

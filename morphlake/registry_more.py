@@ -280,9 +280,7 @@ CAST(len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ȶ]+|[0-9]+|[ \\t\\n\\v\\
 )
 def document_profile(spark, sf_dir):
     """Word starts, candidate lengths and runs of whole documents, summed up for each."""
-    p = C.profiled(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", ("can_bow", "candidate_length", "run_length"))
-    run_ends = F.count(F.when(F.col("run_length") == 1, 1))
-    return p.groupBy("doc_id").agg(F.count(F.when(F.col("can_bow"), 1)).alias("n_starts"), F.sum("candidate_length").alias("candidate_chars"), run_ends.alias("n_runs"))
+    return C.summed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 # dictionaries
