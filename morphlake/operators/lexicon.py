@@ -7,6 +7,11 @@ speech, and the ids of its units for modes A and B and of its structure.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,26 +103,106 @@ def longest(keys: DataFrame, column: str) -> DataFrame:
 WINDOW = 32
 
 
-def windows(text: Column, width: int = WINDOW) -> Column:
-    """Array of (begin, the next ``width`` characters) for every position: the characters are cut once, and each window is
-    joined from its own, so the work grows with the text alone."""
-    cut = lambda cs: F.transform(F.sequence(F.lit(0), F.size(cs) - 1), lambda i: F.struct(i.alias("begin"), F.array_join(F.slice(cs, i + 1, width), "").alias("w")))
-    return F.transform(F.array(F.filter(F.split(text, "", -1), lambda c: c != "")), cut)[0]
+#: So many different beginnings of headwords go to the workers as hashes (8 bytes each), which leave out what meets none.
+FILTER_ROWS = 4_000_000
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 to the 64."""
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64))) for b in (_BASE, _INVERSE))
+
+
+class Hashes:
+    """A rolling hash of the characters of many texts: of any span in constant time."""
+
+    def __init__(self, cp: np.ndarray):
+        v = cp.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        v ^= v >> np.uint64(29)
+        power, self.back = _powers(1 << max(16, len(cp).bit_length()))
+        v *= power[: len(cp)]
+        self.sums = np.zeros(len(cp) + 1, np.uint64)
+        np.cumsum(v, out=self.sums[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[begin]) * self.back[begin]
+
+
+def _beginnings(lexicon: DataFrame) -> tuple[dict[int, list[int]], dict[int, np.ndarray] | None]:
+    """First characters (code points) with the lengths of headwords, up to WINDOW, that have them; by length the hashes of
+    their first WINDOW characters, unless these are too many."""
+    heads = lexicon.filter("headword <> ''").select(F.substring("headword", 1, WINDOW).alias("probe"))
+    first = heads.groupBy(F.substring("probe", 1, 1).alias("first")).agg(F.collect_set(F.length("probe")).alias("lens"))
+    lens = {ord(r.first): sorted(r.lens) for r in first.collect()}
+    if heads.count() > FILTER_ROWS and heads.distinct().count() > FILTER_ROWS:
+        return lens, None
+
+    def run(batches):
+        from morphlake.operators.segments import Rewritten
+
+        for batch in batches:
+            if batch.num_rows:
+                t = Rewritten(batch.column(0).cast(pa.string()), [])
+                got = Hashes(t.cp).of(t.starts[:-1], t.starts[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(t.starts).astype(np.int32)), pa.array(got.view(np.int64))], ["n", "h"])
+
+    got = heads.mapInArrow(run, "n int, h long").distinct().toArrow()
+    n, h = got.column("n").to_numpy(), got.column("h").to_numpy().view(np.uint64)
+    return lens, {k: np.sort(h[n == k]) for k in np.unique(n).tolist()}
+
+
+def probed(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """(id, begin, n, probe): every start and every length that some headword with this first character has, up to WINDOW
+    characters. Where hashes of the headwords fit, only what has the hash of one: nearly nothing else is left to join."""
+    from morphlake.operators.segments import Rewritten, cut_out, slices
+    from morphlake.sources.shared import small_batches
+
+    small_batches(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(_beginnings(lexicon))
+    kind = texts.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        lens, hashes = shared.value
+        bits = np.zeros(max(lens, default=0) + 2, np.uint32)  # the last entry is that of all other characters
+        for first, own in lens.items():
+            for n in own:
+                bits[first] |= np.uint32(1 << (n - 1))
+        every = sorted({n for own in lens.values() for n in own})
+        for batch in batches:
+            for at, part in slices(batch.column(1)):
+                some = np.flatnonzero(pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False) > 0)
+                if not len(some) or not every:
+                    continue
+                t = Rewritten(part.cast(pa.string()).take(pa.array(some)), [])
+                own, rolling = bits[np.minimum(t.cp, len(bits) - 1)], Hashes(t.cp)
+                open_ = np.flatnonzero(own)
+                of_text = np.searchsorted(t.starts, open_, "right") - 1
+                own, last = own[open_], t.starts[of_text + 1]
+                key = batch.column(0).slice(at, len(part))
+                for n in every:
+                    k = np.flatnonzero((own >> np.uint32(n - 1) & np.uint32(1)).astype(bool) & (open_ + n <= last))
+                    if hashes is not None:
+                        known, h = hashes[n], rolling.of(open_[k], open_[k] + n)
+                        k = k[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
+                    begin, text = open_[k], of_text[k]
+                    columns = [key.take(pa.array(some[text])), pa.array((begin - t.starts[text]).astype(np.int32)), pa.array(np.full(len(k), n, np.int32)), cut_out(t.data, t.byte_at[begin], t.byte_at[begin + n])]
+                    for i in range(0, len(k), 100_000):
+                        yield pa.RecordBatch.from_arrays([c.slice(i, 100_000) for c in columns], [id_col, "begin", "n", "probe"])
+
+    return texts.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"{id_col} {kind}, begin int, n int, probe string")
 
 
 def prefix_lookup(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
     """Common-prefix search as an equi-join: every start and every length that some headword with this first character
     has, against the headword. Returns (id, begin, end, headword and the lexicon's columns).
 
-    Lengths are bounded per first character, from the lexicon, before anything is exploded. Headwords beyond WINDOW
-    characters meet on their first WINDOW; the few matches are then compared with the text.
+    Lengths are bounded per first character, from the lexicon, and hashes sort out nearly all that is no headword before
+    anything is joined. Headwords beyond WINDOW characters meet on their first WINDOW; the few matches are then compared
+    with the text.
     """
     lex = lexicon.filter("headword IS NOT NULL")
-    short = F.least(F.length("headword"), F.lit(WINDOW))
-    lengths = lex.groupBy(F.substring("headword", 1, 1).alias("first")).agg(F.sort_array(F.collect_set(short)).alias("lens"))
-    starts = texts.filter(F.length(text_col) > 0).select(id_col, F.inline(windows(F.col(text_col)))).withColumn("first", F.substring("w", 1, 1))
-    probes = starts.join(F.broadcast(lengths), "first").withColumn("n", F.explode("lens"))  # one row per first character
-    probes = probes.filter(F.col("n") <= F.length("w")).select(id_col, "begin", "n", F.expr("substring(w, 1, n)").alias("probe"))
+    probes = probed(texts, id_col, text_col, lex)
     met = probes.join(lex.withColumn("probe", F.substring("headword", 1, WINDOW)), "probe").withColumn("end", F.col("begin") + F.length("headword"))
     plain = met.filter(F.length("headword") == F.col("n"))
     longer = met.filter(F.length("headword") > F.col("n")).filter(F.col("n") == WINDOW)
