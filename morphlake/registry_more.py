@@ -468,7 +468,7 @@ def empty_texts(spark, sf_dir):
 def sql_tokenize(spark, sf_dir):
     """The table function in SQL."""
     sql.register(spark, demo.dictionary(spark, sf_dir), "name_morphemes")
-    demo.names(spark, sf_dir).createOrReplaceTempView("names_to_tokenize")
+    sql.spread(demo.names(spark, sf_dir)).createOrReplaceTempView("names_to_tokenize")
     return spark.sql("SELECT p_partkey, t.* FROM names_to_tokenize n, LATERAL name_morphemes(n.p_name, 'C') t").select(*PATH_COLUMNS)
 
 

@@ -13,6 +13,7 @@ from morphlake.operators import lattice as L
 from morphlake.operators.lexicon import INHIBITED
 from morphlake.operators.oov import SimpleOov
 from morphlake.operators.segments import Segmenter, rewritten, slices
+from morphlake.plans import sql
 
 
 def rows(d, texts, mode):
@@ -98,3 +99,15 @@ def test_offsets_in_bounded_memory(spark):
     df = spark.createDataFrame([(1, "Ab--c", None), (2, None, 3)], "id long, text string, norm int")
     got = normalized(df).orderBy("id").collect()
     assert [(r.id, r.text, tuple(r.norm)) for r in got] == [(1, "Ab--c", ("Ab--c", "abーc", [0, 1, 2, 4, 5])), (2, None, (None, None, None))]
+
+
+def test_table_function_over_repeated_texts(spark, monkeypatch):
+    """A small table's rows go over all cores, and texts that come again have their morphemes again."""
+    texts = [(i, ["b a", "a", None, "a" * 150, ""][i % 5]) for i in range(400)]
+    df = sql.spread(spark.createDataFrame(texts, "id long, text string").coalesce(1))
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    d = L.Dictionary([L.Word(0, 0, "a", 1, 1, 5, "a", ("p",) * 6, "A", "a", "")])
+    sql.register(spark, d, "repeated_morphemes")
+    df.createOrReplaceTempView("repeated_texts")
+    got = spark.sql("SELECT id, t.* FROM repeated_texts r, LATERAL repeated_morphemes(r.text, 'C') t")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, L.tokenized(df, d, "id").collect()), key=repr)
